@@ -12,6 +12,7 @@ holds for files and written tables.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -53,6 +54,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's JVM collects its garbage, which may be hours away.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def narrow(x: np.ndarray) -> bytes:
     """Rising references as differences, 2 bytes each where they fit, else 4."""
     d = np.diff(x, prepend=0)
@@ -66,8 +76,9 @@ def widen(blob: bytes, n: int) -> np.ndarray:
 class Packer:
     """Collects (hash, reference) entries of one task and yields packed rows."""
 
-    def __init__(self, buckets: int, head_each: bool = False):
-        self.buckets, self.head_each = buckets, head_each
+    def __init__(self, buckets: int, head_each: bool = False, wide: bool = False):
+        """head_each: every row has its unit's head.  wide: keys keep all 64 bits, not 32 besides the bucket."""
+        self.buckets, self.head_each, self.key = buckets, head_each, U if wide else np.uint32
         self.unit = TaskContext.get().partitionId() << 32
         self._clear()
 
@@ -90,7 +101,7 @@ class Packer:
         h, r = np.concatenate(self.hashes), np.concatenate(self.refs)
         b = ((h >> U(32)) % U(self.buckets)).astype(np.uint16 if self.buckets < 1 << 16 else np.uint32)
         order = np.argsort(b, kind="stable")
-        b, r, key = b[order], r[order], h[order].astype(np.uint32)
+        b, r, key = b[order], r[order], h[order].astype(self.key)
         cuts = np.flatnonzero(np.diff(b, prepend=-1 if len(b) else 0)) if len(b) else np.zeros(0, np.int64)
         ends = np.append(cuts[1:], len(b))
         sink = pa.BufferOutputStream()
@@ -129,7 +140,7 @@ def meet(blobs: DataFrame, choose: Group, extra: bool = False) -> DataFrame:
         n = np.array([r["n"] for r in full], dtype=np.int64)
         refs = np.concatenate([widen(r["refs"], r["n"]) for r in full]) if full else keep
         if full:
-            keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint32) for r in full])
+            keys = np.concatenate([np.frombuffer(r["keys"], dtype=U if len(r["keys"]) == 8 * r["n"] else np.uint32) for r in full])
             keep, marks = choose(keys, np.repeat(np.arange(len(full)), n), refs, [r["head"] for r in full])
         at = np.searchsorted(keep, np.concatenate([[0], np.cumsum(n)]))
         res = [(r["unit"], int(e - s), narrow(refs[keep[s:e]]), marks[s:e].tobytes(), r["head"] if extra else None) for r, s, e in zip(full, at[:-1], at[1:]) if e > s or extra]
