@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, language_id, ngram_join, substring_dedup
 
-MODULES = [decontamination]
+MODULES = [decontamination, language_id, ngram_join, substring_dedup]
 QUERIES = {name: pair for m in MODULES for name, pair in m.QUERIES.items()}
