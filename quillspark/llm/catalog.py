@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, ngram_join, substring_dedup
+from . import ann, bpe, decontamination, language_id, license_scan, ngram_join, quality, substring_dedup
 
-MODULES = [decontamination, language_id, ngram_join, substring_dedup]
+MODULES = [decontamination, license_scan, language_id, bpe, ngram_join, substring_dedup, quality, ann]
 QUERIES = {name: pair for m in MODULES for name, pair in m.QUERIES.items()}

@@ -4,14 +4,15 @@ Which documents have word n-gram sets (tokens) of a Jaccard similarity of t or m
 join is exact.
 
 1. Every partner of q shares t*|q| of q's tokens, so a document of which fewer tokens occur
-   anywhere else has none.  One packed exchange counts, for each document, how many of its
-   tokens other documents have, and most documents leave here.
+   anywhere else has none.  One packed exchange gives every token of every document its
+   number of documents (up to 255), and most documents leave here.
 2. Documents with equal token sets are one set from here on, named by the lowest doc_id.
 3. Sets are partitioned into groups by their smallest token hash, which similar sets share
    with the probability of their similarity; groups over GROUP_SPLIT sets are split.
 4. Token-group matrix.  q and a partner share a token among the |q| - ceil(t*|q|) + 1
-   smallest of q's and among as many of its own (prefix filter).  The matrix's rows for those
-   tokens join queries to groups; q goes to each group met and to its own.
+   rarest of q's and among as many of its own (prefix filter; any fixed order of tokens is
+   right, and rarest first keeps passages that many documents share out of it).  The matrix's
+   rows for those tokens join queries to groups; q goes to each group met and to its own.
 5. In a group, each block of BLOCK_SETS sets has the union of its tokens.  A block is opened
    for q only if q's overlap with the union reaches what q's least partner there would need;
    then overlaps with its sets are counted exactly.
@@ -20,7 +21,6 @@ join is exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,13 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .exchange import BLOB, Packer, buckets_for, cut, gather, meet, release
-from .tables import corpus, load
+from .tables import corpus, load, unpack, with_texts
 
 NGRAM, THRESHOLD = 3, 0.7
 GROUP_SPLIT, BLOCK_SETS = 4096, 64
-BROADCAST_ROWS = 1_000_000
 PAIRS = "doc_a long, doc_b long, jaccard double"
 _PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
-_FOUND = "doc_id long, n int, fp1 long, fp2 long, n_shared int"
+_FOUND = "doc_id long, n int, fp1 long, fp2 long, df binary"
 
 
 def _fingerprint(g: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,60 +66,66 @@ def _emit(ngram: int, buckets: int):
                 n = np.diff(off)
                 f1, f2 = _fingerprint(g, off)
                 head = pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(n, pa.int32()), pa.array(f1), pa.array(f2)], names=["doc_id", "n", "fp1", "fp2"])
-                yield from packer.add(g, np.repeat(np.arange(len(n)), n), head, len(n))
+                yield from packer.add(g, np.arange(len(g)), head, len(g))
         yield from packer.flush()
 
     return run
 
 
 def _shared(keys: np.ndarray, unit: np.ndarray, refs: np.ndarray, heads: list) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that several documents have, with their number, up to 255."""
     order = np.argsort(keys)
     k = keys[order]
-    same = np.zeros(len(k) + 1, dtype=bool)
-    same[1:-1] = k[1:] == k[:-1]
-    keep = np.zeros(len(k), dtype=bool)
-    keep[order] = same[1:] | same[:-1]
-    keep = np.flatnonzero(keep)
-    return keep, np.zeros(len(keep), np.uint8)
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    count = np.zeros(len(k), dtype=np.int64)
+    count[order] = np.repeat(np.diff(np.append(first, len(k))), np.diff(np.append(first, len(k))))
+    keep = np.flatnonzero(count > 1)
+    return keep, np.minimum(count[keep], 255).astype(np.uint8)
 
 
 def _survivors(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        head, refs, _ = gather(table)
-        count = np.bincount(refs, minlength=head.num_rows).astype(np.int32)
-        n = head["n"].to_numpy()
-        return head.append_column("n_shared", pa.array(count)).filter(pa.array((n > 0) & (count >= _least(threshold, n))))
+        head, refs, marks = gather(table)
+        n = head["n"].to_numpy().astype(np.int64)
+        off = np.concatenate([[0], np.cumsum(n)])
+        df = np.ones(off[-1], dtype=np.uint8)
+        df[refs] = marks
+        shared = np.concatenate([[0], np.cumsum(df > 1)])
+        keep = np.flatnonzero((n > 0) & (shared[off[1:]] - shared[off[:-1]] >= _least(threshold, n)))
+        return head.take(pa.array(keep)).append_column("df", pa.array([df[off[i] : off[i + 1]].tobytes() for i in keep], pa.binary()))
 
     return run
 
 
-def _fetch(ngram: int):
-    """Token sets of the wanted documents: wanted has fp1 and fp2 of the set meant."""
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("tokens", pa.binary())])
+def _fetch(ngram: int, threshold: float):
+    """Token sets of the wanted documents, which come with the fingerprint and the df of the set meant, and their prefixes without tokens of one document."""
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in K.chunks(batch):
+            for c in (c for part in unpack(batch) for c in K.chunks(part)):
                 g, off = _tokens(c, ngram)
                 f1, f2 = _fingerprint(g, off)
-                right = np.flatnonzero((f1 == c.column("fp1").to_numpy()) & (f2 == c.column("fp2").to_numpy()))
-                n, view = np.diff(off), g.view(np.int64)
-                yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pa.array(right)), pa.array(n[right], pa.int32()), pa.array(view[off[right]]), pa.array([g[off[i] : off[i + 1]].tobytes() for i in right], pa.binary())], schema=out)
+                n, rows = np.diff(off), []
+                for i in np.flatnonzero((f1 == c.column("fp1").to_numpy()) & (f2 == c.column("fp2").to_numpy())):
+                    own, df = g[off[i] : off[i + 1]], np.frombuffer(c.column("df")[i].as_py(), dtype=np.uint8)
+                    rare = np.argsort(df, kind="stable")[: n[i] - int(_least(threshold, n[i])) + 1]
+                    rare = rare[df[rare] > 1]
+                    if len(rare):
+                        rows.append((c.column("doc_id")[i].as_py(), int(n[i]), int(own[:1].view(np.int64)[0]), own.tobytes(), own[rare].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), out)], schema=out)
 
     return run
 
 
-def _prefixes(threshold: float):
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = pa.schema([("doc_id", pa.int64()), ("gid", pa.int64()), ("token", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.column("n").to_numpy()
-            p = n - _least(threshold, n) + 1
-            tokens = np.concatenate([np.frombuffer(x.as_py()[: 8 * k], dtype=np.int64) for x, k in zip(b.column("tokens"), p)] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(), p)), pa.array(np.repeat(b.column("gid").to_numpy(), p)), pa.array(tokens)], schema=out)
-
-    return run
+    for b in batches:
+        own = [np.frombuffer(x.as_py(), dtype=np.int64) for x in b.column("prefix")]
+        if own:
+            p = np.array([len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(), p)), pa.array(np.repeat(b.column("gid").to_numpy(), p)), pa.array(np.concatenate(own))], schema=out)
 
 
 def _verify(threshold: float):
@@ -181,17 +186,14 @@ def similar_sets(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHO
     docs = corpus(docs)
     found = _found(docs, ngram, threshold)
     release(docs.sparkSession)
-    classes = found.groupBy("fp1", "fp2").agg(F.collect_set("doc_id").alias("ids")).select("fp1", "fp2", F.array_sort("ids").alias("ids"))
-    classes = cut(classes)
+    classes = found.groupBy("fp1", "fp2").agg(F.collect_set("doc_id").alias("ids"), F.first("df").alias("df")).withColumn("ids", F.array_sort("ids"))
     star = classes.filter("size(ids) > 1").select(F.col("ids")[0].alias("doc_a"), F.explode(F.slice("ids", 2, F.size("ids") - 1)).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    wanted = classes.select(F.col("ids")[0].alias("doc_id"), "fp1", "fp2")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = docs.join(wanted, "doc_id").mapInArrow(_fetch(ngram), "doc_id long, n int, first long, tokens binary")
-    sets = cut(sets)
+    wanted = classes.select(F.col("ids")[0].alias("doc_id"), "fp1", "fp2", "df")
+    sets = cut(with_texts(docs, wanted).mapInArrow(_fetch(ngram, threshold), "doc_id long, n int, first long, tokens binary, prefix binary"))
+    release(docs.sparkSession)
     large = sets.groupBy("first").count().filter(F.col("count") > GROUP_SPLIT).withColumn("parts", F.ceil(F.col("count") / GROUP_SPLIT)).drop("count")
-    grouped = sets.join(large, "first", "left").select("doc_id", "n", F.when(F.col("parts").isNull(), F.col("first")).otherwise(F.xxhash64("first", F.pmod(F.xxhash64("doc_id"), "parts"))).alias("gid"), "tokens")
-    prefix = grouped.mapInArrow(_prefixes(threshold), "doc_id long, gid long, token long")
+    grouped = sets.join(large, "first", "left").select("doc_id", "n", F.when(F.col("parts").isNull(), F.col("first")).otherwise(F.xxhash64("first", F.pmod(F.xxhash64("doc_id"), "parts"))).alias("gid"), "tokens", "prefix")
+    prefix = grouped.select("doc_id", "gid", "prefix").mapInArrow(_prefixes, "doc_id long, gid long, token long")
     rows = prefix.select("token", F.col("gid").alias("group")).distinct()
     met = prefix.join(rows, "token").filter("gid <> group").select("doc_id", "group").distinct()
     queries = met.join(grouped.select("doc_id", "tokens"), "doc_id").select(F.col("group").alias("gid"), "doc_id", "tokens")

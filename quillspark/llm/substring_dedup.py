@@ -11,8 +11,7 @@ no repeat is missed:
    meet another of the same hash are repeats (second exchange);
 3. join consecutive repeated windows to maximal spans.
 
-Where texts go back to their hits they are joined by doc_id; the hits are broadcast only if
-they have at most BROADCAST_BYTES, else Spark shuffles both sides.
+Texts come back to their hits by a shuffle join on doc_id, packed; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -26,10 +25,9 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .exchange import BLOB, Packer, buckets_for, cut, gather, meet, read_head, release
-from .tables import corpus, load
+from .tables import corpus, load, unpack, with_texts
 
 MIN_WORDS = 50
-BROADCAST_BYTES = 24 << 20
 SPANS = "doc_id long, start_word long, end_word long, n_words long, is_copy boolean"
 _SPANS = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("n_words", pa.int64()), ("is_copy", pa.bool_())])
 _HITS = pa.schema([("doc_id", pa.int64()), ("hits", pa.binary())])
@@ -81,7 +79,7 @@ def _around(words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets, head_each=True, wide=True)
         for batch in batches:
-            for c in K.chunks(batch):
+            for c in (c for part in unpack(batch) for c in K.chunks(part)):
                 g, off = K.grams(K.words(c.column("text")), words)
                 n = np.diff(off)
                 wanted = np.zeros(len(g) + 1, dtype=np.int32)
@@ -166,10 +164,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     blobs = docs.mapInArrow(_probe(min_words // 2, buckets), BLOB)
     hits = cut(meet(blobs, _anchored).groupBy("unit").applyInArrow(_hits, "doc_id long, hits binary").groupBy("doc_id").agg(F.collect_list("hits").alias("hits")))
     release(docs.sparkSession)
-    size = hits.agg(F.sum(F.expr("aggregate(hits, 16, (a, x) -> a + length(x))"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        hits = F.broadcast(hits)
-    blobs = docs.join(hits, "doc_id").mapInArrow(_around(min_words, buckets), BLOB)
+    blobs = with_texts(docs, hits).mapInArrow(_around(min_words, buckets), BLOB)
     return meet(blobs, _repeated, extra=True).groupBy("unit").applyInArrow(_spans(min_words), SPANS)
 
 
