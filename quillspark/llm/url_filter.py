@@ -29,7 +29,7 @@ from .exchange import cut
 from .tables import load, pick
 
 SEEDS = ["casino", "poker", "bets", "pills", "viagra", "porn", "xxx", "adult", "spam", "ads", "warez", "malware", "phish"]
-WORDS = [*SEEDS, *"the and for free win cheap farm track blog shop news bet best online sex video games game slots money loan crypto health pharmacy drugs store download crack click buy deal live cam girls hot home page index post article wiki forum mail mobile school library science university music sport travel food recipe garden history press daily world city book photo".split()]
+WORDS = [*SEEDS, *"the and for free win cheap farm track blog shop news bet best online sex video games game slots money loan crypto health pharmacy drugs store download crack click buy deal live cam girls hot home page index post article wiki forum mail mobile school library science university music sport travel food recipe garden history press daily world city book photo top ref page html php feed source utm id www example com net org tag category user profile image images static api docs help about contact login search".split()]
 FLOOR, BYTE_COST = 1e-5, 2.3
 LONGEST, ALPHA = 20, 1.0
 FLUSH = 1_000_000
@@ -136,7 +136,7 @@ def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def score_urls(pages: DataFrame, seeds: list[str] | None = None) -> DataFrame:
-    """page_id, url, host, the distinct words of host and path in rising order, log_odds of bad against good, and kept: log_odds below 0.
+    """page_id, url, host, the words of host and path in rising order, log_odds of bad against good, and kept: no seed word in the host, and log_odds below 0.
 
     pages has page_id, url and html; other columns are ignored.  A null html adds no words; a
     null or empty url, or one without letters, has no words and the class odds alone.  Rows
@@ -163,10 +163,10 @@ def score_urls(pages: DataFrame, seeds: list[str] | None = None) -> DataFrame:
     rows = urls.withColumn("row", F.monotonically_increasing_id())  # names repeated rows, until the next shuffle
     by_page = rows.select("page_id", "url", "host", "row", F.explode_outer("runs").alias("run")).join(scored, "run", "left")
     prior = float(np.log((bad + ALPHA) / (good + ALPHA)))
-    parts = F.array_sort(F.array_distinct(F.flatten(F.collect_list("parts"))))
+    parts = F.array_sort(F.flatten(F.collect_list("parts")))
     total = F.aggregate(F.col("parts"), F.lit(prior), lambda a, x: a + x["odds"]) if bad else F.lit(None).cast("double")
     out = by_page.groupBy("row", "page_id", "url", "host").agg(parts.alias("parts"))
-    return out.select("page_id", "url", "host", F.col("parts")["word"].alias("words"), F.round(total, 9).alias("log_odds")).withColumn("kept", F.coalesce(F.col("log_odds") < 0, F.lit(True)))
+    return out.select("page_id", "url", "host", F.col("parts")["word"].alias("words"), F.round(total, 9).alias("log_odds")).withColumn("kept", ~F.col("host").rlike(seeded) & F.coalesce(F.col("log_odds") < 0, F.lit(True)))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
