@@ -90,7 +90,7 @@ class Codes:
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: Codes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, score) of the k best vectors of a cell for each query, itself left out; ties go to the lower id."""
     out: list[tuple] = []
-    step = max(1, 4_000_000 // max(1, len(ids)))
+    step = max(1, 500_000 // max(1, len(ids)))
     for at in range(0, len(q), step):
         qs, qi = q[at : at + step], q_ids[at : at + step]
         score, error = codes.estimate(qs)
@@ -98,7 +98,10 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: Codes, k: in
         low = np.where(same, -np.inf, score - error)
         floor = np.partition(low, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))]
         r, c = np.nonzero((score + error >= floor[:, None]) & ~same)
-        exact = np.einsum("ij,ij->i", qs[r].astype(np.float64), codes.x[c].astype(np.float64))
+        exact = np.empty(len(r))
+        for s in range(0, len(r), 1 << 16):
+            pair = slice(s, s + (1 << 16))
+            exact[pair] = np.einsum("ij,ij->i", qs[r[pair]].astype(np.float64), codes.x[c[pair]].astype(np.float64))
         order = np.lexsort((ids[c], -exact, r))
         r, c, exact = r[order], c[order], exact[order]
         first = np.searchsorted(r, np.arange(len(qs)))
