@@ -1,0 +1,19 @@
+"""Large Column expressions, built once for each JVM: building them node by node takes longer than running them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Hashable
+
+from pyspark import SparkContext
+from pyspark.sql import Column
+
+_columns: dict[tuple, tuple[object, Column]] = {}
+
+
+def kept(key: Hashable, build: Callable[[], Column]) -> Column:
+    """The column of this key, which must name all that it is made of."""
+    gateway = SparkContext._gateway
+    have = _columns.get((id(gateway), key))
+    if have is None or have[0] is not gateway:
+        have = _columns[id(gateway), key] = (gateway, build())
+    return have[1]

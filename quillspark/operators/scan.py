@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexer as L
+from quillspark.functions.kept import kept
 from quillspark.functions.phrases import FLAGS, ID, words
 
 from . import blocks
@@ -42,9 +43,10 @@ def with_views(sources: DataFrame) -> DataFrame:
     seq = F.col("file_seq").cast("int") if "file_seq" in sources.columns else F.lit(0)
     text = L.normalise(F.coalesce(F.col("source").cast("string"), F.lit("")))
     base = sources.select(F.col("source_file").cast("string").alias("source_file"), seq.alias("file_seq"), text.alias("source"))
-    base = base.withColumn("veiled", L.veiled(F.col("source")))
-    views = base.select("source_file", "file_seq", L.clean(F.col("veiled")).alias("clean"), L.visible(F.col("source"), F.col("veiled")).alias("visible"))
-    return views.withColumn("idx", L.containers(F.col("clean")))
+    base = base.withColumn("veiled", kept("veiled", lambda: L.veiled(F.col("source"))))
+    shown = kept("visible", lambda: L.visible(F.col("source"), F.col("veiled")))
+    views = base.select("source_file", "file_seq", L.clean(F.col("veiled")).alias("clean"), shown.alias("visible"))
+    return views.withColumn("idx", kept("idx", lambda: L.containers(F.col("clean"))))
 
 
 def _row(pos: Column, line: Column, name: Column, snippet: Column, part: Part) -> Column:
@@ -213,7 +215,7 @@ def scan_views(views: DataFrame, detectors: list[str] | None = None) -> DataFram
         if spec.parts[0].shape in ("blocks", "chains"):
             python.append(spec.name)
         else:
-            arrays.append(_numbered(spec, seq, F.concat(*[part_rows(p, look[p.view], idx).cast(ROW) for p in spec.parts])))
+            arrays.append(kept(spec.name, lambda: _numbered(spec, seq, F.concat(*[part_rows(p, look[p.view], idx).cast(ROW) for p in spec.parts]))))  # noqa: B023  called at once
     arrays += [_numbered(s, len(SPECS) + i, rows(clean, visible, idx).cast(ROW)) for i, (s, rows) in enumerate(wanted.values())]
     columns = ["source_file", "file_seq", "detector", "detector_seq", "hit_seq", "line", "object_name", "snippet", "message_no"]
     out = None
@@ -255,7 +257,7 @@ def scan(sources: DataFrame, detectors: list[str] | None = None) -> DataFrame:
 def lint_generated(generated: DataFrame) -> DataFrame:
     """Findings in generated code, of the detector that isn't part of the scan; line 0, as the place is not one of the source."""
     views = with_views(generated)
-    hit = F.explode(_numbered(GENERATED, len(SPECS), part_rows(GENERATED.parts[0], F.col("clean"), F.col("idx")).cast(ROW))).alias("hit")
+    hit = F.explode(kept(GENERATED.name, lambda: _numbered(GENERATED, len(SPECS), part_rows(GENERATED.parts[0], F.col("clean"), F.col("idx")).cast(ROW)))).alias("hit")
     rows = views.select("source_file", "file_seq", hit).select("source_file", "file_seq", "hit.*").withColumn("line", F.lit(0))
     return _told(rows, list(ALL))
 

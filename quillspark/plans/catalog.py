@@ -227,7 +227,7 @@ def _bags(spark, sf_dir):
     return snapshot.diff(*_event_findings(spark, sf_dir))
 
 
-@_register("set_diff_rows", _with("SELECT CASE WHEN line % 3 = 0 THEN 'new' WHEN line % 3 = 1 THEN 'resolved' ELSE 'unchanged' END AS status, detector, object_name, line, source_file FROM fs"))
+@_register("set_diff_rows", _with(f", k AS (SELECT *, {_KEY} AS key FROM fs), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line) AS rn FROM k WHERE line % 3 <> 0), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line) AS rn FROM k WHERE line % 3 <> 1) SELECT CASE WHEN o.key IS NULL THEN 'new' WHEN n.key IS NULL THEN 'resolved' ELSE 'unchanged' END AS status, coalesce(n.detector, o.detector) AS detector, coalesce(n.object_name, o.object_name) AS object_name, coalesce(n.line, o.line) AS line, coalesce(n.source_file, o.source_file) AS source_file FROM o FULL JOIN n ON o.key = n.key AND o.rn = n.rn"))
 def _diff_rows(spark, sf_dir):
     found = snapshot.keyed(_found(spark, sf_dir))
     return snapshot.diff_rows(found.filter("line % 3 <> 0"), found.filter("line % 3 <> 1")).select("status", "detector", "object_name", "line", "source_file")
