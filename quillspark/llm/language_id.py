@@ -200,7 +200,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4) -> M
 
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Model:
     """A model from the max_docs labelled documents (text and lang, at most max_chars long) of the lowest hashes of their doc_id."""
-    rows = pick(docs, doc_id="long", text="string", lang="string").dropna().filter((F.length("text") <= max_chars) & (F.trim("text") != "")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_docs).collect()
+    own = pick(docs, doc_id="long", text="string", lang="string").dropna().filter((F.length("text") <= max_chars) & (F.trim("text") != ""))
+    own = own.withColumn("h", F.xxhash64("doc_id"))
+    last = own.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]  # hashes alone travel, not texts
+    rows = [] if last is None else own.filter(F.col("h") <= last).orderBy("h", "doc_id", "text").limit(max_docs).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
