@@ -126,10 +126,30 @@ def _search(shared, k: int, threshold: float):
     return run
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    bad = contained_items(docs, items, **params).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__leaked"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.6) -> DataFrame:
+    """The rows whose text holds no benchmark item, with all their columns, in place: no shuffle.
+
+    Each row is judged by its own text, also where its doc_id is null or repeated.
+    """
+    schema, spark = docs.schema, docs.sparkSession
+    text = schema.fieldNames().index("text")
+    items = pick(items, item_id="long", text="string").dropna().distinct()
+
+    def without(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = _search(shared, k, threshold)
+            for batch in batches:
+                bare = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(text)], names=["doc_id", "text"])
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for found in search(iter([bare])):
+                    keep[found.column("doc_id").to_numpy()] = False
+                yield batch if keep.all() else batch.filter(pa.array(keep))
+
+        return run
+
+    for index in _blocks(items, k):
+        docs = docs.mapInArrow(without(spark.sparkContext.broadcast(index)), schema)
+    return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
