@@ -77,7 +77,7 @@ class Codes:
         for b in range(bits):
             plane = pack((levels >> b) & 1)
             for w in range(plane.shape[1]):
-                dots += np.float32(1 << b) * np.bitwise_count(plane[:, w, None] & self.code[None, :, w])
+                dots += np.bitwise_count(plane[:, w, None] & self.code[None, :, w]) * np.float32(1 << b)
         # sum of signs * (low + step * level): signs are 2 * bit - 1
         total = levels.sum(axis=1, dtype=np.int64)[:, None]
         signed = step * (2 * dots - total) + low * (2 * self.ones[None, :] - self.d)
@@ -88,16 +88,28 @@ class Codes:
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: Codes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of the k best vectors of a cell for each query, itself left out; ties go to the lower id."""
+    """(query, vector, score) of the k best vectors of a cell for each query, itself left out; ties go to the lower id.
+
+    The floor is the least exact score of the k highest estimates, a lower bound of the k-th
+    best score; vectors whose upper bound reaches it are reranked.
+    """
     out: list[tuple] = []
-    step = max(1, 500_000 // max(1, len(ids)))
+    step, few = max(1, 500_000 // max(1, len(ids))), min(k, len(ids))
     for at in range(0, len(q), step):
         qs, qi = q[at : at + step], q_ids[at : at + step]
         score, error = codes.estimate(qs)
         same = qi[:, None] == ids[None, :]
-        low = np.where(same, -np.inf, score - error)
-        floor = np.partition(low, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))]
-        r, c = np.nonzero((score + error >= floor[:, None]) & ~same)
+        score[same] = -np.inf
+        top = np.argpartition(score, len(ids) - few, axis=1)[:, len(ids) - few :]
+        known = np.einsum("ij,ikj->ik", qs, codes.x[top])
+        known[np.take_along_axis(same, top, 1)] = -np.inf
+        floor = known.min(axis=1) - 1e-5
+        open_ = score + error >= floor[:, None]
+        open_ &= ~same
+        if open_.mean() > 0.02:  # one product is cheaper than many gathered rows, and leaves the ties and the best for exact scores
+            near = np.where(open_, qs @ codes.x.T, -np.inf)
+            open_ &= near >= np.partition(near, len(ids) - few, axis=1)[:, len(ids) - few, None] - 1e-5
+        r, c = np.nonzero(open_)
         exact = np.empty(len(r))
         for s in range(0, len(r), 1 << 16):
             pair = slice(s, s + (1 << 16))
