@@ -5,8 +5,8 @@ six states: the first line, or a later one, of a turn by system, user or assista
 seen through its features: whether it opens a row, its speaker marker ("User:", "### Bot",
 "<|assistant|>" and the like, or the row's own role column, under any of the usual names),
 its length class, and whether it ends in a question mark or opens a list or code.  Transition
-and feature probabilities are counts over all rows of known role in the whole table, smoothed;
-a marker is right with MARKER_RIGHT.  Viterbi gives the states; a run of lines from one first
+and feature probabilities are counts over all rows of known role in the whole table, mixed with
+even ones by EVEN; a marker is right with 1 - MARKER_WRONG, so it outweighs what is unusual.  Viterbi gives the states; a run of lines from one first
 line to the next is a turn, rendered as <|role|>, a line end, its text and <|end|>.
 """
 
@@ -27,7 +27,7 @@ ROLES = ["system", "user", "assistant"]
 _NAMES = {"system": 0, "instruction": 0, "instructions": 0, "user": 1, "human": 1, "prompter": 1, "customer": 1, "q": 1, "question": 1, "assistant": 2, "bot": 2, "ai": 2, "gpt": 2, "model": 2, "chatbot": 2, "agent": 2, "a": 2, "answer": 2}
 _MARK = regex.compile(r"^\s*(?:<\|(?:im_start\|>)?\s*(?P<a>\p{L}+)(?:\|>)?|\#{1,4}\s*(?P<b>\p{L}+)\s*:?\s*$|\[(?P<c>\p{L}+)\]:?|(?:\*\*)?(?P<d>\p{L}+)(?:\*\*)?\s*:(?:\*\*)?)\s*", regex.I)
 _END = regex.compile(r"\s*<\|(?:im_end|end|eot_id|endoftext)\|>\s*$", regex.I)
-MARKER_RIGHT = 0.98
+MARKER_WRONG, EVEN = 1e-9, 1e-3
 BLOCK_LINES = 200_000
 SHAPES = 18
 SCHEMA = "conv_id long, n_turns long, roles array<string>, text string"
@@ -72,8 +72,8 @@ class Model:
         e = self.shapes[:, shapes].T.copy()
         for r in range(3):
             m = marks == r
-            e[m] += np.log((1 - MARKER_RIGHT) / 5)
-            e[m, 2 * r] += np.log(MARKER_RIGHT) - np.log((1 - MARKER_RIGHT) / 5)
+            e[m] += np.log(MARKER_WRONG / 5)
+            e[m, 2 * r] += np.log1p(-MARKER_WRONG) - np.log(MARKER_WRONG / 5)
         return e
 
 
@@ -139,9 +139,21 @@ def fit(rows: DataFrame) -> Model:
     flat = np.zeros(6 + 36 + 6 * SHAPES)
     for r in got:
         flat[r["k"]] = r["n"]
-    log = lambda x, a: np.log((x + a) / (x + a).sum(axis=-1, keepdims=True))
-    start = log(flat[:6] + np.array([1, 0, 1, 0, 1, 0]), 1e-6)
-    return Model(start, log(flat[6:42].reshape(6, 6), 0.1), log(flat[42:].reshape(6, SHAPES), 0.5))
+
+    start, move, shapes = flat[:6], flat[6:42].reshape(6, 6), flat[42:].reshape(6, SHAPES)
+    # one count of what is usual in each distribution, which decides where the table has none
+    start += np.array([0.3, 0, 0.6, 0, 0.1, 0])
+    for r in range(3):
+        for state in (2 * r, 2 * r + 1):
+            move[state, 2 * r + 1] += 0.6
+            move[state, 2 if r != 1 else 4] += 0.4
+        shapes[2 * r, 1::2] += 2 / SHAPES
+        shapes[2 * r + 1, ::2] += 2 / SHAPES
+
+    def log(x: np.ndarray) -> np.ndarray:
+        return np.log((1 - EVEN) * x / x.sum(axis=-1, keepdims=True) + EVEN / x.shape[-1])
+
+    return Model(log(start), log(move), log(shapes))
 
 
 def _render(model: Model):
