@@ -155,7 +155,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     columns are ignored.  Null, empty and shorter texts have no spans, rows without a doc_id are
     left out, and rows that repeat a doc_id and its text are one document, not repeats of each
     other (each row gives the spans).  Overlapping places of one document count: in a text of
-    one word over and over, all but the first min_words words are a copy.
+    one word over and over, every run but the first is a copy, which leaves its first word.
     """
     if min_words < 2 or min_words % 2:
         raise ValueError("min_words must be even")
