@@ -6,10 +6,14 @@ to each side, over the whole corpus.  Tokens (words, or runs of other marks, as
 share VOCABULARY slots by hash, so the table has a fixed size; partial sums of the tasks are
 added slot block by slot block.
 
-A document is the mean and the spread of its tokens' vectors and the logarithm of its length.
-A network of two layers, fitted by Adam on at most TRAIN_DOCS labelled documents (those of
-the lowest hashes of their doc_id), gives the probabilities of good quality and of toxic
-content; on a held-out part of those documents each gets a temperature that calibrates it.
+A document is pooled four times: the mean and the spread of its tokens' vectors, and for each
+label the mean weighted by what the tokens say about it, with the strength of that.  What a
+token says (its evidence) is the log odds of its document counts by label.  A network of two
+layers, fitted by Adam, gives the probabilities of good quality and of toxic content; while it
+is fitted, each half of the labelled documents is pooled by the evidence of the other half, as
+new documents are by evidence that isn't from them.  On a held-out part each probability gets
+a temperature that calibrates it.  At most TRAIN_DOCS labelled documents are used, those of the
+lowest hashes of their doc_id.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ from . import kernel as K
 from .tables import corpus, load, pick
 
 VOCABULARY, DIMENSIONS, NONZERO, WINDOW = 1 << 15, 32, 2, 2
-TRAIN_DOCS, HIDDEN = 4000, 48
+TRAIN_DOCS, HIDDEN = 12_000, 48
+LEAST_DOCS, SAYS = 3, 1.5
 SLOT_BLOCK = 1 << 10
 SCHEMA = "doc_id long, p_quality double, p_toxic double, n_tokens long, kept boolean"
 _OUT = pa.schema([("doc_id", pa.int64()), ("p_quality", pa.float64()), ("p_toxic", pa.float64()), ("n_tokens", pa.int64()), ("kept", pa.bool_())])
@@ -36,7 +41,7 @@ _KIND[[*b" \t\r\n\f\v\0"]] = 0
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the tokens of texts, as written, and their offsets by text."""
+    """Hashes of the tokens of texts, as written, and their offsets by text."""
     data, off = K.flat(texts)
     kind = np.concatenate([[0], _KIND[data], [0]]).astype(np.int8)
     border = np.zeros(len(data) + 1, dtype=bool)
@@ -44,7 +49,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     change = (kind[1:] != kind[:-1]) | border
     start = np.flatnonzero(change[:-1] & (kind[1:-1] > 0))
     end = np.flatnonzero(change[1:] & (kind[1:-1] > 0)) + 1
-    return (K.span_hash(data, start, end) & K.U(VOCABULARY - 1)).astype(np.int64), np.searchsorted(start, off)
+    return K.span_hash(data, start, end), np.searchsorted(start, off)
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    return (h & K.U(VOCABULARY - 1)).astype(np.int64)
 
 
 def random_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +67,8 @@ def index_corpus(texts: Iterator[pa.Array]) -> np.ndarray:
     place, sign = random_vectors()
     total = np.zeros(VOCABULARY * DIMENSIONS)
     for part in texts:
-        slot, off = tokens(part)
+        h, off = tokens(part)
+        slot = slots(h)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
         for gap in range(1, WINDOW + 1):
             near = np.flatnonzero(doc[gap:] == doc[:-gap]) if len(doc) > gap else np.zeros(0, np.int64)
@@ -93,20 +103,57 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(texts: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Evidence:
+    """What tokens say about quality and toxic content: log odds by token hash, 0 for those not known."""
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.weights = hashes[order], weights[order].astype(np.float32)
+        self.seen = np.zeros(1 << 20, dtype=bool)
+        self.seen[(self.hashes & K.U((1 << 20) - 1)).astype(np.int64)] = True
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(h), 2), dtype=np.float32)
+        some = np.flatnonzero(self.seen[(h & K.U((1 << 20) - 1)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            known = self.hashes[at] == h[some]
+            out[some[known]] = self.weights[at[known]]
+        return out
+
+
+N_FEATURES = 4 * DIMENSIONS + 2 + 6
+
+
+def pooled(texts: pa.Array, vectors: np.ndarray, evidence: Evidence) -> tuple[np.ndarray, np.ndarray]:
     """Features of each text, and its number of tokens."""
-    slot, off = tokens(texts)
+    h, off = tokens(texts)
     n = np.diff(off)
-    out = np.zeros((len(n), 2 * DIMENSIONS + 2), dtype=np.float32)
+    out = np.zeros((len(n), N_FEATURES), dtype=np.float32)
     some = np.flatnonzero(n)
     if len(some):
+        slot, start = slots(h), off[:-1][some]
         x = vectors[slot]
         count = n[some, None]
-        mean = np.add.reduceat(x, off[:-1][some], axis=0) / count
-        square = np.add.reduceat(x * x, off[:-1][some], axis=0) / count
+        mean = np.add.reduceat(x, start, axis=0) / count
+        square = np.add.reduceat(x * x, start, axis=0) / count
         again = np.zeros(len(slot) + 1)
         np.cumsum(np.append(False, slot[1:] == slot[:-1]), out=again[1:])
-        out[some] = np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(count), (again[off[1:]] - again[off[:-1]])[some, None] / count], axis=1)
+        parts = [mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(count), (again[off[1:]] - again[off[:-1]])[some, None] / count]
+        w = evidence.of(h)
+        for j in range(2):
+            strong = np.where(np.abs(w[:, j]) > SAYS, w[:, j], 0)
+            at = np.flatnonzero(strong)
+            pool, total = np.zeros((len(n), DIMENSIONS)), np.zeros((len(n), 2))
+            if len(at):
+                doc = np.searchsorted(off, at, side="right") - 1
+                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                pool[doc[first]] = np.add.reduceat(x[at] * strong[at, None], first, axis=0)
+                total[doc[first], 0] = np.add.reduceat(np.maximum(strong[at], 0), first)
+                total[doc[first], 1] = np.add.reduceat(np.maximum(-strong[at], 0), first)
+            rate = total[some] / count
+            parts += [pool[some] / np.maximum(total[some].sum(axis=1, keepdims=True), 1e-6), np.log1p(100 * rate), np.log1p(total[some, :1])]
+        out[some] = np.concatenate(parts, axis=1)
     return out, n
 
 
@@ -164,26 +211,63 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 3, epochs: int = 60, held_out:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_docs: int = TRAIN_DOCS) -> Network:
-    """A network from the max_docs labelled documents of the lowest hashes of their doc_id; rows with a null label are left out."""
+def _evidence(rows: DataFrame) -> tuple[Evidence, Evidence, Evidence]:
+    """From rows (text, quality, toxic, half): document counts of every token by label, for tokens of LEAST_DOCS documents or more; of half 0, of half 1, of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in K.chunks(b):
+                h, off = tokens(c.column("text"))
+                doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                take = pa.array(doc[new])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), *(c.column(x).take(take) for x in ("quality", "toxic", "half"))], names=["h", "quality", "toxic", "half"])
+
+    sums = []
+    for half in (0, 1):
+        own = F.col("half") == half
+        sums += [F.count_if(own).alias(f"n{half}"), *(F.sum(F.when(own, F.col(c)).otherwise(0.0)).alias(f"{c[0]}{half}") for c in ("quality", "toxic"))]
+    size = rows.agg(*sums).first()
+    by = rows.select("text", "quality", "toxic", "half").mapInArrow(run, "h long, quality double, toxic double, half long").groupBy("h").agg(*sums).filter(F.col("n0") + F.col("n1") >= LEAST_DOCS).toArrow()
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        total = lambda c: sum(by[f"{c}{x}"].to_numpy() for x in halves)  # noqa: B023, E731
+        whole = lambda c: sum(size[f"{c}{x}"] or 0 for x in halves)  # noqa: B023, E731
+        n, docs = total("n"), whole("n")
+        odds = [np.log((total(c) + 0.5) / (whole(c) + 1)) - np.log((n - total(c) + 0.5) / (docs - whole(c) + 1)) for c in "qt"]
+        enough = n >= LEAST_DOCS
+        out.append(Evidence(by["h"].to_numpy().view(K.U)[enough], np.stack(odds, axis=1)[enough]))
+    return tuple(out)
+
+
+def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_docs: int = TRAIN_DOCS) -> tuple[Evidence, Network]:
+    """Evidence and a network from the max_docs labelled documents of the lowest hashes of their doc_id; rows with a null label are left out."""
     docs = corpus(docs)
-    chosen = pick(labels, doc_id="long", quality="double", toxic="double").dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    chosen = pick(labels, doc_id="long", quality="double", toxic="double").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    rows = docs.join(F.broadcast(chosen), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)))
+    *halves, evidence = _evidence(rows)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, halves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, halves = shared.value
         for b in batches:
             for c in K.chunks(b):
-                x, _ = pooled(c.column("text"), shared.value)
+                half = c.column("half").to_numpy()
+                both = [pooled(c.column("text"), vectors, e)[0] for e in halves]
+                x = np.where(half[:, None] == 1, both[0], both[1])
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("quality"), c.column("toxic"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "toxic", "x"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality double, toxic double, x binary").collect()
-    if not rows:
+    got = rows.mapInArrow(run, "doc_id long, quality double, toxic double, x binary").collect()
+    if not got:
         raise ValueError("no labelled document")
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    return fit(np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in rows]).astype(np.float64), np.array([[r["quality"], r["toxic"]] for r in rows]))
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    return evidence, fit(np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in got]).astype(np.float64), np.array([[r["quality"], r["toxic"]] for r in got]))
 
 
-def classify(docs: DataFrame, net: Network, vectors: np.ndarray, least: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, trained: tuple[Evidence, Network], vectors: np.ndarray, least: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
     """Calibrated probabilities for each document, and whether to keep it.
 
     kept: p_quality is at least `least` and p_toxic under most_toxic.  A text with no token
@@ -192,13 +276,13 @@ def classify(docs: DataFrame, net: Network, vectors: np.ndarray, least: float =
     repeated results, and an empty table gives none.
     """
     docs = corpus(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((net, vectors))
+    shared = docs.sparkSession.sparkContext.broadcast((*trained, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, vectors = shared.value
+        evidence, net, vectors = shared.value
         for b in batches:
             for c in K.chunks(b):
-                x, n = pooled(c.column("text"), vectors)
+                x, n = pooled(c.column("text"), vectors, evidence)
                 p = net.probabilities(x.astype(np.float64)) * (n > 0)[:, None]
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(n, pa.int64()), pa.array((n > 0) & (p[:, 0] >= least) & (p[:, 1] < most_toxic))], schema=_OUT)
 

@@ -185,8 +185,12 @@ def test_quality_on_held_out_labels(spark):
         y = np.array(y, bool)
         return (order[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
 
+    print("AUC", auc([r["p_quality"] for r in rows], [r["quality"] for r in rows]), auc([r["p_toxic"] for r in rows], [r["toxic"] for r in rows]))
+    print("toxic caught", np.mean([r["p_toxic"] >= 0.5 for r in rows if r["toxic"]]), "clean flagged", np.mean([r["p_toxic"] >= 0.5 for r in rows if not r["toxic"]]), "good kept", np.mean([r["kept"] for r in rows if r["quality"] and not r["toxic"]]))
     assert auc([r["p_quality"] for r in rows], [r["quality"] for r in rows]) > 0.9
     assert auc([r["p_toxic"] for r in rows], [r["toxic"] for r in rows]) > 0.9
+    assert np.mean([r["p_toxic"] >= 0.5 for r in rows if r["toxic"]]) > 0.7
+    assert np.mean([r["kept"] for r in rows if r["quality"] and not r["toxic"]]) > 0.9
     assert abs(np.mean([r["p_quality"] for r in rows]) - np.mean([r["quality"] for r in rows])) < 0.05
 
 
