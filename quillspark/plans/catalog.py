@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexer as L
-from quillspark.operators import costs, registry, scan, snapshot
+from quillspark.operators import checks, costs, registry, scan, snapshot
 from quillspark.operators import findings as O
 from quillspark.operators.specs import ALL, SPECS
 from quillspark.sources import dictionary, sinks
@@ -329,3 +329,26 @@ def _costs(spark, sf_dir):
 @_register("src_cost_totals", "SELECT 'n' || s_nationkey AS source_file, 'p' || s_nationkey AS package, count(*)::DOUBLE AS units, 3.0::DOUBLE AS person_days FROM supplier GROUP BY s_nationkey UNION ALL SELECT DISTINCT 'n' || s_nationkey, NULL, 7.25::DOUBLE, 1.0::DOUBLE FROM supplier")
 def _totals(spark, sf_dir):
     return costs.totals(_reports(spark, sf_dir))
+
+
+@_register("set_difference", "SELECT 'left' AS side, name FROM (SELECT DISTINCT c_nationkey AS name FROM customer WHERE c_nationkey < 20 EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'right', name FROM (SELECT DISTINCT s_nationkey AS name FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 20)")
+def _difference(spark, sf_dir):
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_nationkey < 20").select("c_nationkey")
+    return checks.difference(customers, spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey"))
+
+
+@_register("chk_registry", "SELECT detector, ''::VARCHAR AS fault FROM (VALUES ('none')) v(detector) WHERE false")
+def _checks(spark, sf_dir):
+    """Everything that is wrong with the registry: nothing."""
+    faults = [checks.scanned(spark).select(F.col("name").alias("detector"), F.lit("scan").alias("fault")), checks.moded(spark).select("name", F.lit("mode")), checks.translated(spark).select("name", F.lit("text")), checks.staged(spark).select("detector", F.lit("stage"))]
+    out = faults[0]
+    for more in faults[1:]:
+        out = out.union(more)
+    return out
+
+
+@_register("src_distinct_files", "SELECT 'f' || min(p_partkey) || '.sql' AS source_file, p_partkey % 7 AS content FROM part GROUP BY p_partkey % 7")
+def _distinct_files(spark, sf_dir):
+    """Of several spellings of one file the first counts."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 7).alias("content"))
+    return rows.groupBy("content").agg(F.min_by("seq", "seq").alias("first")).select(F.concat(F.lit("f"), "first", F.lit(".sql")).alias("source_file"), "content")
