@@ -28,7 +28,7 @@ from .exchange import cut
 from .tables import load
 
 TOP_K, QUERY_BITS, EPSILON, TARGET = 10, 4, 1.9, 0.97
-SAMPLE_QUERIES, ROUNDS = 256, 4
+SAMPLE_QUERIES, ROUNDS, GROUP_QUERIES = 256, 4, 32
 RESULT = "vec_id long, neighbour_id long, score double, rank int"
 _PART = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("score", pa.float64())])
 
@@ -224,8 +224,11 @@ def neighbours(vectors: DataFrame, id_column: str = "vec_id", column: str = "emb
         return pa.Table.from_arrays([pa.array(q), pa.array(n), pa.array(s)], schema=_PART)
 
     schema = "cell int, vec_id long, v array<float>"
-    members, queries = v.mapInArrow(place(1), schema), v.mapInArrow(place(n_probe), schema)
-    found = members.groupBy("cell").cogroup(queries.groupBy("cell")).applyInArrow(search, "q long, n long, score double")
+    # a cell's queries are dealt to groups of about GROUP_QUERIES times its members, each with the members
+    groups = -(-n_probe // GROUP_QUERIES)
+    members = v.mapInArrow(place(1), schema).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    queries = v.mapInArrow(place(n_probe), schema).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    found = members.groupBy("cell", "part").cogroup(queries.groupBy("cell", "part")).applyInArrow(search, "q long, n long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "n"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias("vec_id"), F.col("n").alias("neighbour_id"), "score", "rank")
 
