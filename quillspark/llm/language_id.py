@@ -216,6 +216,12 @@ def label_words(model: Model, w: K.Words) -> np.ndarray:
     return forward_backward(e, sentences(w), model.transitions, model.start)
 
 
+def _spelt(w: K.Words) -> np.ndarray:
+    """1 for words without digits, else 0: numbers, addresses and keys are of no language, and don't speak against one."""
+    digits = np.concatenate([[0], np.cumsum((w.data >= 48) & (w.data <= 57))])
+    return (digits[w.end] == digits[w.start]).astype(np.float64)
+
+
 def _predict(shared, most_other: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
@@ -226,12 +232,15 @@ def _predict(shared, most_other: float):
                 w = K.words(c.column("text"))
                 post = label_words(model, w)
                 n = w.counts
-                sums = np.zeros((len(post) + 1, post.shape[1]))
-                np.cumsum(post, axis=0, out=sums[1:])
-                mean = (sums[w.offsets[1:]] - sums[w.offsets[:-1]]) / np.maximum(n, 1)[:, None]
+                spelt = _spelt(w)
+                sums = np.zeros((len(post) + 1, post.shape[1] + 1))
+                np.cumsum(np.column_stack([post * spelt[:, None], spelt]), axis=0, out=sums[1:])
+                mean = sums[w.offsets[1:]] - sums[w.offsets[:-1]]
+                votes = mean[:, -1].astype(np.int64)
+                mean = mean[:, :-1] / np.maximum(votes, 1)[:, None]
                 best = mean[:, :real].argmax(axis=1) if real else np.zeros(len(n), np.int64)
                 share = mean[np.arange(len(n)), best] if real else np.zeros(len(n))
-                kept = (n > 0) & (mean[:, real] < most_other) & (real > 0)
+                kept = (votes > 0) & (mean[:, real] < most_other) & (real > 0)
                 y = post.argmax(axis=1)
                 doc = w.doc()
                 new = np.ones(len(y), dtype=bool)
@@ -252,9 +261,9 @@ def _predict(shared, most_other: float):
 def identify(docs: DataFrame, model: Model, most_other: float = MOST_OTHER) -> DataFrame:
     """The language of each document and of its words.
 
-    language is the one with the greatest mean posterior over the words, confidence that mean.
-    Where OTHER's mean is most_other or more, or there is no word (null or empty text), the
-    language is "und" and kept is false; text switching between languages is kept.  spans lists the runs of words of one label, from which n_switches
+    language is the one with the greatest mean posterior over the words without digits,
+    confidence that mean.  Where OTHER's mean is most_other or more, or there is no such word
+    (null or empty text, numbers only), the language is "und" and kept is false; text switching between languages is kept.  spans lists the runs of words of one label, from which n_switches
     counts the changes.  Ties go to the alphabetically first language.  docs has doc_id and
     text; other columns are ignored; rows without a doc_id are left out, repeated rows give
     repeated results, and an empty table gives none.

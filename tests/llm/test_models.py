@@ -231,3 +231,11 @@ def test_words_are_the_regular_expressions(spark):
     texts = ["", None, "Ab1 é-x", "日本 \x00_y", "a\nB", "ÀÉ"]
     w = K.words(pa.array(texts, pa.string()))
     assert list(w.counts) == [len(words(t)) for t in texts]
+
+
+def test_noise_has_no_language_and_numbers_do_not_count(spark, documents):
+    model = language_id.train(documents)
+    text = documents.filter("lang = 'en'").first()["text"].split(".")[0]
+    rows = [(1, "xkcd qwrtp zzxvb bcdfgh jklmnp qrstvwx zxcvb"), (2, "19 37 4734663219866878"), (3, text + " 19 37 4734663219866878 b64b244a 99")]
+    got = {r["doc_id"]: r["language"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: "und", 2: "und", 3: "en"}
