@@ -17,7 +17,7 @@ def grams(text, k, short=True):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-def similar(docs, k=3, t=0.7):
+def similar(docs, k=3, t=0.55):
     """(a, b) of all pairs of (doc_id, text) at least t alike."""
     sets = [(d, grams(x, k)) for d, x in docs]
     out = set()
