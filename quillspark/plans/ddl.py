@@ -121,7 +121,9 @@ def files(spark: SparkSession, sf_dir: str, templates: tuple[Template, ...] = TE
     text = F.replace(F.element_at(F.array(*[F.lit(t.text) for t in templates]), (F.pmod(F.col("k"), F.lit(n)) + 1).cast("int")), F.lit("{k}"), F.col("k").cast("string"))
     rows = part.select(F.floor(F.col("k") / per_file).alias("f"), "k", text.alias("text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n")
-    return rows.groupBy("f").agg(joined.alias("source")).select(F.concat(F.lit("f"), F.col("f"), F.lit(".sql")).alias("source_file"), "source")
+    texts = rows.groupBy("f").agg(joined.alias("source")).select(F.concat(F.lit("f"), F.col("f"), F.lit(".sql")).alias("source_file"), "source")
+    # few bytes but much work each: adaptive execution would put them all into one task
+    return texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_file")
 
 
 def _q(x: object) -> str:
