@@ -16,6 +16,8 @@ join is exact.
 5. In a group, each block of BLOCK_SETS sets has the union of its tokens.  A block is opened
    for q only if q's overlap with the union reaches what q's least partner there would need;
    then overlaps with its sets are counted exactly.
+6. similar_pairs() joins both ends of a pair of sets back to their documents, in blocks of at
+   most ID_BLOCK doc_ids a side, which are dealt to the tasks before they are multiplied.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .tables import corpus, load, unpack, with_texts
 
 #: Where a share c of the words changes, (1 - c)**3 of the 3-grams stay: 10 % leave a similarity of about 0.57.
 NGRAM, THRESHOLD = 3, 0.55
-GROUP_SPLIT, BLOCK_SETS = 4096, 64
+GROUP_SPLIT, BLOCK_SETS, ID_BLOCK = 4096, 64, 512
 PAIRS = "doc_a long, doc_b long, jaccard double"
 _PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
 _FOUND = "doc_id long, n int, fp1 long, fp2 long, df binary"
@@ -98,8 +100,8 @@ def _survivors(threshold: float):
     return run
 
 
-def _fetch(ngram: int, threshold: float):
-    """Token sets of the wanted documents, which come with the fingerprint and the df of the set meant, and their prefixes without tokens of one document."""
+def _fetch(ngram: int, threshold: float, name: str = "doc_id"):
+    """Token sets of the wanted documents, which come with the fingerprint and the df of the set meant, and their prefixes without tokens of one document; name: the column that names a set."""
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +115,7 @@ def _fetch(ngram: int, threshold: float):
                     rare = np.argsort(df, kind="stable")[: n[i] - int(_least(threshold, n[i])) + 1]
                     rare = rare[df[rare] > 1]
                     if len(rare):
-                        rows.append((c.column("doc_id")[i].as_py(), int(n[i]), int(own[:1].view(np.int64)[0]), own.tobytes(), own[rare].tobytes()))
+                        rows.append((c.column(name)[i].as_py(), int(n[i]), int(own[:1].view(np.int64)[0]), own.tobytes(), own[rare].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), out)], schema=out)
 
@@ -172,12 +174,34 @@ def _found(docs: DataFrame, ngram: int, threshold: float) -> DataFrame:
     return cut(meet(blobs, _shared).groupBy("unit").applyInArrow(_survivors(threshold), _FOUND))
 
 
+def _classes(docs: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """The documents of each token set that others may be similar to, in rising order: fp1, fp2, ids, df."""
+    found = _found(docs, ngram, threshold)
+    release(docs.sparkSession)
+    return found.groupBy("fp1", "fp2").agg(F.collect_set("doc_id").alias("ids"), F.first("df").alias("df")).withColumn("ids", F.array_sort("ids"))
+
+
+def _class_pairs(docs: DataFrame, classes: DataFrame, ngram: int, threshold: float, name: str) -> DataFrame:
+    """The pairs of similar classes; name: doc_id, by their lowest doc_ids, or fp1, which tells classes of one lowest doc_id apart."""
+    wanted = classes.select(F.col("ids")[0].alias("doc_id"), "fp1", "fp2", "df")
+    sets = cut(with_texts(docs, wanted).mapInArrow(_fetch(ngram, threshold, name), "doc_id long, n int, first long, tokens binary, prefix binary"))
+    release(docs.sparkSession)
+    large = sets.groupBy("first").count().filter(F.col("count") > GROUP_SPLIT).withColumn("parts", F.ceil(F.col("count") / GROUP_SPLIT)).drop("count")
+    grouped = sets.join(large, "first", "left").select("doc_id", "n", F.when(F.col("parts").isNull(), F.col("first")).otherwise(F.xxhash64("first", F.pmod(F.xxhash64("doc_id"), "parts"))).alias("gid"), "tokens", "prefix")
+    prefix = grouped.select("doc_id", "gid", "prefix").mapInArrow(_prefixes, "doc_id long, gid long, token long")
+    rows = prefix.select("token", F.col("gid").alias("group")).distinct()
+    met = prefix.join(rows, "token").filter("gid <> group").select("doc_id", "group").distinct()
+    queries = met.join(grouped.select("doc_id", "tokens"), "doc_id").select(F.col("group").alias("gid"), "doc_id", "tokens")
+    members = grouped.select("gid", "doc_id", "tokens")
+    return members.groupBy("gid").cogroup(queries.groupBy("gid")).applyInArrow(_verify(threshold), PAIRS)
+
+
 def similar_sets(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """All pairs of documents with similar word n-gram sets: doc_a < doc_b, jaccard >= threshold.
 
     Documents with one and the same token set form a class.  Its lowest doc_id stands for it:
     it is paired at 1.0 with each other member and, at their similarity, with the lowest
-    doc_ids of all similar classes; pairs of further members follow from these.
+    doc_ids of all similar classes; similar_pairs() gives the pairs of all members.
 
     docs has doc_id and text; other columns are ignored.  A text of 1 to ngram - 1 words has
     one token, all its words; null and empty texts have none and are in no pair.  Rows
@@ -185,22 +209,38 @@ def similar_sets(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHO
     texts of one doc_id are not paired with each other.  An empty table gives no pairs.
     """
     docs = corpus(docs)
-    found = _found(docs, ngram, threshold)
-    release(docs.sparkSession)
-    classes = found.groupBy("fp1", "fp2").agg(F.collect_set("doc_id").alias("ids"), F.first("df").alias("df")).withColumn("ids", F.array_sort("ids"))
+    classes = _classes(docs, ngram, threshold)
     star = classes.filter("size(ids) > 1").select(F.col("ids")[0].alias("doc_a"), F.explode(F.slice("ids", 2, F.size("ids") - 1)).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    wanted = classes.select(F.col("ids")[0].alias("doc_id"), "fp1", "fp2", "df")
-    sets = cut(with_texts(docs, wanted).mapInArrow(_fetch(ngram, threshold), "doc_id long, n int, first long, tokens binary, prefix binary"))
-    release(docs.sparkSession)
-    large = sets.groupBy("first").count().filter(F.col("count") > GROUP_SPLIT).withColumn("parts", F.ceil(F.col("count") / GROUP_SPLIT)).drop("count")
-    grouped = sets.join(large, "first", "left").select("doc_id", "n", F.when(F.col("parts").isNull(), F.col("first")).otherwise(F.xxhash64("first", F.pmod(F.xxhash64("doc_id"), "parts"))).alias("gid"), "tokens", "prefix")
-    prefix = grouped.select("doc_id", "gid", "prefix").mapInArrow(_prefixes, "doc_id long, gid long, token long")
-    rows = prefix.select("token", F.col("gid").alias("group")).distinct()
-    met = prefix.join(rows, "token").filter("gid <> group").select("doc_id", "group").distinct()
-    queries = met.join(grouped.select("doc_id", "tokens"), "doc_id").select(F.col("group").alias("gid"), "doc_id", "tokens")
-    members = grouped.select("gid", "doc_id", "tokens")
-    pairs = members.groupBy("gid").cogroup(queries.groupBy("gid")).applyInArrow(_verify(threshold), PAIRS)
-    return star.unionByName(pairs).distinct()
+    return star.unionByName(_class_pairs(docs, classes, ngram, threshold, "doc_id")).distinct()
+
+
+def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of rows (a, b, jaccard, own): of each doc_id of list a with each of list b; own: both are of one class, whose doc_ids are met once."""
+    for batch in batches:
+        for a, b, j, own in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "jaccard", "own"))):
+            x, y = np.repeat(np.array(a, np.int64), len(b)), np.tile(np.array(b, np.int64), len(a))
+            keep = x < y if own else x != y
+            x, y = x[keep], y[keep]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), j))], schema=_PAIRS)
+
+
+def similar_pairs(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """Every pair of documents with similar word n-gram sets, exact copies with all others too: doc_a < doc_b, jaccard >= threshold.
+
+    m exact copies give m * (m - 1) / 2 rows, and each of them a row with every document
+    similar to them.  Input is taken as in similar_sets(); a doc_id with several texts gives a
+    row for each of its token sets that is similar to one of the other doc_id.
+    """
+    docs = corpus(docs)
+    classes = cut(_classes(docs, ngram, threshold))
+    pairs = _class_pairs(docs, classes, ngram, threshold, "fp1").distinct()
+    blocks = classes.select("fp1", F.posexplode(F.expr(f"transform(sequence(0, (size(ids) - 1) div {ID_BLOCK}), k -> slice(ids, int(k * {ID_BLOCK} + 1), {ID_BLOCK}))")).alias("k", "ids"))
+    a, b = blocks.select(F.col("fp1").alias("doc_a"), F.col("k").alias("ka"), F.col("ids").alias("a")), blocks.select(F.col("fp1").alias("doc_b"), F.col("k").alias("kb"), F.col("ids").alias("b"))
+    near = pairs.join(a, "doc_a").join(b, "doc_b").select("a", "b", "jaccard", F.lit(False).alias("own"))
+    same = a.join(b, (F.col("doc_a") == F.col("doc_b")) & (F.col("ka") <= F.col("kb"))).filter("ka < kb or size(a) > 1").select("a", "b", F.lit(1.0).alias("jaccard"), F.lit(True).alias("own"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return near.unionByName(same).repartition(tasks, F.col("a")[0], F.col("b")[0]).mapInArrow(_multiply, PAIRS)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -239,6 +279,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(load(spark, sf_dir, "documents"))
 
 
+def op5_ngram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(load(spark, sf_dir, "documents"))
+
+
 SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{K.WORD_SQL}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
@@ -251,4 +295,15 @@ p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) / (a.n + b.n - count
 SELECT doc_a, doc_b, jaccard FROM p WHERE jaccard >= 0.55::DOUBLE
 UNION ALL SELECT r.rep, c.doc_id, 1.0::DOUBLE FROM c JOIN r USING (f) WHERE c.doc_id > r.rep
 """
-QUERIES = {"op5_ngram_join": (op5_ngram_join, SQL)}
+ALL_PAIRS_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{K.WORD_SQL}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT doc_id, s, n FROM s JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) / (a.n + b.n - count(*))::DOUBLE AS jaccard
+      FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n)
+SELECT doc_a, doc_b, jaccard FROM p WHERE jaccard >= 0.55::DOUBLE
+"""
+#: op5_ngram_join names a class of exact copies by its lowest doc_id; op5_ngram_pairs has every pair.
+QUERIES = {"op5_ngram_join": (op5_ngram_join, SQL), "op5_ngram_pairs": (op5_ngram_pairs, ALL_PAIRS_SQL)}

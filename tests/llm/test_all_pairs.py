@@ -1,0 +1,30 @@
+"""Exact copies are paired with every similar document, not their lowest doc_id alone."""
+
+import pytest
+
+from quillspark.llm import ngram_join
+
+from .brute import similar
+
+TEXT = "the quick brown fox jumps over the lazy dog near the old mill by the river at noon"
+OTHER = "completely different words appear in this second text so that nothing here is shared"
+ROWS = [(1, TEXT), (2, TEXT), (3, TEXT), (4, TEXT + " today"), (5, TEXT + " today"), (6, "a " + TEXT), (7, OTHER), (8, OTHER), (9, "alone"), (10, None), (3, TEXT)]
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_pairs_of_all_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "ID_BLOCK", block)
+    got = ngram_join.similar_pairs(spark.createDataFrame(ROWS, "doc_id long, text string")).collect()
+    pairs = [(r["doc_a"], r["doc_b"]) for r in got]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == similar(ROWS)
+    assert {(2, 3), (3, 5), (4, 6)} <= set(pairs) and all(r["jaccard"] == 1.0 for r in got if r["doc_b"] <= 3)
+
+
+def test_classes_of_one_lowest_doc_id(spark):
+    rows = [(1, TEXT), (2, TEXT), (1, TEXT + " today"), (3, TEXT + " today")]
+    got = {(r["doc_a"], r["doc_b"]) for r in ngram_join.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_no_documents(spark):
+    assert ngram_join.similar_pairs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
