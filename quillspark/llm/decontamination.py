@@ -9,7 +9,9 @@ bin's value its smallest hash.  With at most one shingle a bin on average, a shi
 document shares with the item is the bin's minimum on both sides with probability 0.63 or
 more, whatever the document's length; an item of s shared shingles is missed with
 probability 0.37**s (1e-4 for 9).  Items of fewer than EXACT_BELOW shingles are a class of
-their own whose every shingle has its own bin, so they are never missed.
+their own whose every shingle has its own bin, so they are never missed.  An item of 1 to
+k - 1 words has one shingle, all its words, and documents are searched for windows of the
+lengths that occur among such items too.
 
 Every item that meets a document in a bin is verified in place by exact containment, so no
 text is shuffled.  Items are broadcast in blocks of at most BLOCK_SHINGLES shingles; more
@@ -37,9 +39,16 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles"
 class ItemIndex:
     """The MinHash of a block of items for every size class, and their shingles."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int):
-        g, off = K.sets(K.words(pa.array(texts, pa.string())), k, short=False)
+    def __init__(self, ids: list[int], texts: list[str], k: int, short: bool = True):
+        w = K.words(pa.array(texts, pa.string()))
+        g, off = K.sets(w, k)
         self.ids, self.off, self.hash = np.array(ids, dtype=np.int64), off, g
+        #: by length in words under k: the hashes of such items in rising order, and the items
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m in range(1, k if short else 1):
+            if len(own := np.flatnonzero(w.counts == m)):
+                own = own[np.argsort(g[off[own]], kind="stable")]
+                self.short[m] = g[off[own]], own
         item = np.repeat(np.arange(len(ids)), np.diff(off))
         # the lowest class from which a shingle is its bin's minimum: one more than the bits it shares with the shingle before it
         from_class = np.zeros(len(g), dtype=np.uint8)
@@ -49,8 +58,9 @@ class ItemIndex:
             from_class[1:] = np.where(same, common + 1, 0)
         from_class[np.diff(off)[item] < EXACT_BELOW] = 255
         order = np.argsort(g, kind="stable")
+        order = order[w.counts[item[order]] >= k]
         self.key, self.item, self.from_class = g[order], item[order], from_class[order]
-        self.distinct = np.unique(g)
+        self.distinct = np.unique(self.key)
         self.seen = np.zeros(1 << 21, dtype=bool)
         self.seen[(self.distinct & np.uint64((1 << 21) - 1)).astype(np.int64)] = True
 
@@ -70,6 +80,18 @@ class ItemIndex:
         pairs = np.unique(text[ok] * len(self.ids) + self.item[e[ok]]) if ok.any() else np.zeros(0, np.int64)
         return pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
 
+    def short_hits(self, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) pairs of the items of fewer than k words that a text holds."""
+        texts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m, (key, own) in self.short.items():
+            g, off = K.grams(w, m)
+            lo = np.searchsorted(key, g, "left")
+            at = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == g)
+            n = np.searchsorted(key, g[at], "right") - lo[at]
+            pairs = np.unique(np.repeat(np.searchsorted(off, at, side="right") - 1, n) * len(self.ids) + own[K.ranges(lo[at], n)])
+            texts.append(pairs // len(self.ids)), items.append(pairs % len(self.ids))
+        return np.concatenate(texts), np.concatenate(items)
+
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bit lengths of 64-bit integers."""
@@ -77,22 +99,22 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1])
 
 
-def _blocks(items: DataFrame, k: int) -> Iterator[ItemIndex]:
+def _blocks(items: DataFrame, k: int, short: bool = True) -> Iterator[ItemIndex]:
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = total // (6 * BLOCK_SHINGLES) + 1
     for p in range(parts):
         rows = (items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)).collect()
         rows.sort(key=lambda r: (r[0], r[1]))
         if rows or not p:
-            yield ItemIndex([r[0] for r in rows], [r[1] for r in rows], k)
+            yield ItemIndex([r[0] for r in rows], [r[1] for r in rows], k, short)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.6) -> DataFrame:
     """A row for each document and benchmark item at least `threshold` of whose k-gram shingles the document holds.
 
     docs has doc_id and text, items has item_id and text; other columns are ignored, whatever
-    their names.  Null or empty texts hold nothing; an item of fewer than k words has no shingle
-    and is not searched; rows with a null id are left out.  Repeated item rows count once, and a
+    their names.  Null or empty texts hold nothing; an item of 1 to k - 1 words has one shingle,
+    all its words in a row; rows with a null id are left out.  Repeated item rows count once, and a
     repeated document gives its rows again.  Empty tables give no rows.
     """
     spark, docs = docs.sparkSession, corpus(docs)
@@ -109,10 +131,11 @@ def _search(shared, k: int, threshold: float):
         index: ItemIndex = shared.value
         for batch in batches:
             for c in K.chunks(batch):
-                g, off = K.sets(K.words(c.column("text")), k, short=False)
+                w = K.words(c.column("text"))
+                g, off = K.sets(w, k, short=False)
                 texts, items = index.candidates(g, off)
                 ids = c.column("doc_id").to_numpy(zero_copy_only=False)
-                rows = []
+                rows = [(int(ids[t]), int(index.ids[i]), 1, 1, 1.0) for t, i in zip(*index.short_hits(w))]
                 for t, i in zip(texts, items):
                     own = index.hash[index.off[i] : index.off[i + 1]]
                     have = g[off[t] : off[t + 1]]
@@ -126,14 +149,15 @@ def _search(shared, k: int, threshold: float):
     return run
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.6) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.6, short: bool = False) -> DataFrame:
     """The rows whose text holds no benchmark item, with all their columns, in place: no shuffle.
 
-    Each row is judged by its own text, also where its doc_id is null or repeated.
+    Each row is judged by its own text, also where its doc_id is null or repeated, and items
+    need no item_id.  short: items of fewer than k words are searched too.
     """
     schema, spark = docs.schema, docs.sparkSession
     text = schema.fieldNames().index("text")
-    items = pick(items, item_id="long", text="string").dropna().distinct()
+    items = pick(items, text="string").dropna().distinct().select(F.lit(0).cast("long").alias("item_id"), "text")
 
     def without(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +171,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold:
 
         return run
 
-    for index in _blocks(items, k):
+    for index in _blocks(items, k, short):
         docs = docs.mapInArrow(without(spark.sparkContext.broadcast(index)), schema)
     return docs
 
