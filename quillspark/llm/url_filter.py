@@ -42,10 +42,10 @@ def host_of(url: Column) -> Column:
 
 
 def runs_of(url: Column) -> Column:
-    """The runs of letters of a host, without its last label, and of the path, each once."""
+    """The runs of letters of a host, without its last label, and of the path, in order, repeated ones too."""
     host = F.regexp_replace(host_of(url), r"\.[^.]*$", "")
     path = F.lower(F.regexp_replace(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*", ""))
-    return F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", host, path), F.lit(r"(\p{L}+)"), F.lit(1)))
+    return F.regexp_extract_all(F.concat_ws(" ", host, path), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
