@@ -84,8 +84,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for path in missing:
         _say(f"not found: {path}")
     error = bool(missing or empty)
-    views = scan.with_views(sources).persist()
-    found = scan.scan_views(views)
+    found = scan.scan(sources)
     if a.check_generated:
         found = found.unionByName(scan.lint_generated(read_files(spark, expand([a.check_generated])[0])[0]))
     found = found.persist()
@@ -104,7 +103,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         shown = O.select(found, a.severity, a.object)
         kind = a.format or ("terminal" if not a.output and sys.stdout.isatty() else "markdown")
         if kind == "terminal":
-            objects = scan.total_objects(views).agg({"objects": "sum"}).first()[0] or 0
+            objects = scan.total_objects(scan.with_views(sources)).agg({"objects": "sum"}).first()[0] or 0
             _emit(_terminal(shown, objects), a.output)
         else:
             _emit(sinks.DOCUMENTS[kind](shown), a.output)
@@ -116,7 +115,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     finally:
         found.unpersist()
-        views.unpersist()
 
 
 if __name__ == "__main__":

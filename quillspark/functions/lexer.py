@@ -1,74 +1,266 @@
-"""Lexical operators on source texts, all native Column expressions.
+"""Lexical operators on source texts.
+
+Source is one text with its masked views, its lines and the index of its objects, each made
+at most once and in time linear in the text; it runs inside Arrow batches.  Patterns are
+matched on an upper-cased view of the same length, so keywords are found by plain substring
+search and only their places are looked at by a regular expression.
 
 Offsets count characters from 0, lines from 1.  Masked views have the length and the line
-ends of the source, so an offset means the same place in all of them.
+ends of the source, so an offset means the same place in all of them.  The columns at the end
+are native.
 """
 
 from __future__ import annotations
 
-from functools import partial
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .phrases import FLAGS, ID, named, phrase, words
-
-#: Characters of the private use area that mark places while an expression is evaluated; sources lose them on reading.
-MARK, FIELD, VEIL = "\ue000", "\ue001", "\ue002"
-_COMMENT = r"--[^\n]*|(?m:^)[ \t]*(?i:rem(?:ark)?)(?=[ \t\r\n]|\z)[^\n]*|/\*(?s:.*?)(?:\*/|\z)"
-_QUOTED = "|".join(rf"{a}(?s:.*?){b}'" for a, b in ((r"\[", r"\]"), (r"\{", r"\}"), (r"\(", r"\)"), ("<", ">")))
-_LITERAL = rf"(?<![\p{{L}}\p{{N}}_])[nN]?[qQ]'(?:{_QUOTED}|((?s)[^\[{{(<])(?s:.*?)\1')|'[^']*+'?"
-_ATOMS = rf"(?d){_COMMENT}|{_LITERAL}"
-_ANY_ATOM = r"(?d)--|/\*|'|(?m:^)[ \t]*(?i:rem)"
-_DYNAMIC = words("EXECUTE IMMEDIATE") + "[^;]*+"
-HIT = "array<struct<pos:int,line:int,m:string,g:string,rest:string>>"
+from .phrases import ID, named, phrase, words
+
+_QUOTED = "|".join(rf"{a}.*?{b}'" for a, b in ((r"\[", r"\]"), (r"\{", r"\}"), (r"\(", r"\)"), ("<", ">")))
+_REMARK = "[rR][eE][mM](?:[aA][rR][kK])?"
+_ATOM = re.compile(rf"(?s)--[^\n]*|(?m:^)[ \t]*{_REMARK}(?=[ \t\r\n]|\Z)[^\n]*|/\*.*?(?:\*/|\Z)|(?P<text>(?<!\w)[nN]?[qQ]'(?:{_QUOTED}|([^\[{{(<]).*?\2')|'[^']*+'?)")
+_MAY_HOLD_ATOM = ("--", "/*", "'")
+_DYNAMIC = re.compile(r"\bEXECUTE\s+IMMEDIATE\b")
+_NAME_QUOTED = re.compile('"[^"]*"')
+_INK = re.compile(r"[^\n]")
+_BRACKET = re.compile(r"[()]")
+_GRANT = re.compile(r"\s*(?:GRANT|REVOKE)\b")
+_ROUTINE = re.compile(rf"(?:FUNCTION|PROCEDURE)\s+({ID})")
+_MAKE, _EDITION = "CREATE [OR REPLACE]", "[EDITIONABLE|NONEDITIONABLE]"
+PACKAGE = named(f"{_MAKE} {_EDITION} PACKAGE [BODY]")
+PACKAGE_BODY = named(f"{_MAKE} {_EDITION} PACKAGE BODY")
+PACKAGE_SPEC = phrase(f"{_MAKE} {_EDITION}") + named(r"PACKAGE(?!\s+BODY\b)")
+STANDALONE = phrase(f"{_MAKE} {{FUNCTION|PROCEDURE}}").replace("(FUNCTION", "(?:FUNCTION") + rf"\s+({ID})"
+TRIGGER = named(f"{_MAKE} {_EDITION} TRIGGER")
+VIEW = named(f"{_MAKE} [FORCE|NOFORCE] {_EDITION} [MATERIALIZED] VIEW")
+KINDS = ((PACKAGE_BODY, "package"), (PACKAGE_SPEC, "package"), (None, "nested_routine"), (STANDALONE, "standalone_routine"), (TRIGGER, "trigger"), (VIEW, "view"))
 INDEX = "array<struct<pos:int,kind:string,name:string>>"
+UNKNOWN = "UNKNOWN"
+
+
+def fold(text: str) -> str:
+    """The text in upper case, character for character."""
+    up = text.upper() if text.isascii() else text.lower().upper()
+    if len(up) == len(text):
+        return up
+    table = {ord(c): u for c in set(text) if len(u := c.lower().upper()) == 1 and u != c}
+    return text.translate(table)
 
 
-def normalise(source: Column) -> Column:
-    """Line ends as \\n, and no marks of ours."""
-    return F.translate(F.regexp_replace(source, "\r\n?", "\n"), MARK + FIELD + VEIL, "   ")
-
-
-def _alternate(text: Column, atoms: str) -> Column:
-    """Parts of text; those at odd places match atoms."""
-    return F.split(F.regexp_replace(text, atoms, f"{MARK}$0{MARK}"), MARK)
-
-
-def _veil(text: Column, atoms: str, veil: str, but: str | None = None) -> Column:
-    """text with its atoms blanked, line ends kept; atoms that match `but` stay."""
-    blank = lambda p: F.regexp_replace(p, r"[^\n]", veil)
-    inside = blank if but is None else lambda p: F.when(p.rlike(but), p).otherwise(blank(p))
-    return F.array_join(F.transform(_alternate(text, atoms), lambda p, i: F.when(i % 2 == 1, inside(p)).otherwise(p)), "")
-
+def blanked(text: str) -> str:
+    return _INK.sub(" ", text) if "\n" in text else " " * len(text)
+
+
+def without(text: str, spans: Iterator[tuple[int, int]] | list[tuple[int, int]]) -> str:
+    """The text with rising spans blanked, line ends kept."""
+    out, at = [], 0
+    for s, e in spans:
+        out += (text[at:s], blanked(text[s:e]))
+        at = e
+    return "".join((*out, text[at:])) if out else text
+
+
+@lru_cache(maxsize=None)
+def _compiled(pattern: str) -> tuple[re.Pattern, tuple[str, ...]]:
+    """A pattern and the plain words one of which its matches begin with; () where there are none."""
+    lead = re.match(r"(?:\\b|\(\?<!(?:\[[^\]]*\]|[^)\[])*\))*", pattern).end()
+    some = re.match(r"\((?:\?:)?([A-Z_|]+)\)(?![?*])", pattern[lead:])
+    plain = re.match(r"(\\\$)?([A-Z_]*)(?![A-Z_?*{])", pattern[lead:])
+    if some:
+        found = tuple(some[1].split("|"))
+    else:
+        found = tuple(filter(None, [("$" if plain[1] else "") + plain[2]])) if plain else ()
+    return re.compile(pattern), found
+
+
+def starting(pattern: str) -> tuple[str, ...]:
+    """The plain words one of which every match of a pattern begins with; () where there are none."""
+    return _compiled(pattern)[1]
+
+
+def places(text: str, word: str) -> Iterator[int]:
+    at = text.find(word)
+    while at >= 0:
+        yield at
+        at = text.find(word, at + 1)
+
+
+def matches(folded: str, pattern: str) -> list[re.Match]:
+    """All matches, left to right without overlap."""
+    compiled, begins = _compiled(pattern)
+    if not begins:
+        return list(compiled.finditer(folded)) if "@" not in pattern or "@" in folded else []
+    starts = list(places(folded, begins[0])) if len(begins) == 1 else sorted(p for w in begins for p in places(folded, w))
+    out, end = [], 0
+    for at in starts:
+        if at >= end and (m := compiled.match(folded, at)):
+            out.append(m)
+            end = max(m.end(), at + 1)
+    return out
+
+
+def first(folded: str, pattern: str) -> re.Match | None:
+    """The first match in a short text."""
+    return _compiled(pattern)[0].search(folded)
+
+
+class View:
+    """A view of a source, and the same in upper case."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._found: dict[str, list[re.Match]] = {}
+
+    @cached_property
+    def up(self) -> str:
+        return fold(self.text)
+
+    def matches(self, pattern: str) -> list[re.Match]:
+        """All matches in upper case, left to right without overlap; kept, as detectors share patterns."""
+        have = self._found.get(pattern)
+        if have is None:
+            have = self._found[pattern] = matches(self.up, pattern)
+        return have
+
+    @cached_property
+    def _closes(self) -> dict[int, int]:
+        open_, out = [], {}
+        for m in _BRACKET.finditer(self.text):
+            if m[0] == "(":
+                open_.append(m.start())
+            elif open_:
+                out[open_.pop()] = m.end()
+        return out
+
+    def closing(self, at: int) -> int:
+        """The offset behind the parenthesis that closes the one at `at`, or the text's end."""
+        return self._closes.get(at, len(self.text))
+
+    def statement_end(self, at: int) -> int:
+        """The offset of the next semicolon, or the text's end."""
+        end = self.text.find(";", at)
+        return len(self.text) if end < 0 else end
+
+
+class Source:
+    """One text: line ends become \\n; null is empty."""
+
+    def __init__(self, text: str | None):
+        self.text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
+
+    @cached_property
+    def _atoms(self) -> list[re.Match]:
+        some = any(x in self.text for x in _MAY_HOLD_ATOM) or "REM" in fold(self.text)
+        return list(_ATOM.finditer(self.text)) if some else []
+
+    @cached_property
+    def clean(self) -> View:
+        """Without comments and literals."""
+        return View(without(self.text, [m.span() for m in self._atoms])) if self._atoms else View(self.text)
+
+    @cached_property
+    def visible(self) -> View:
+        """Without comments, and without literals but those of EXECUTE IMMEDIATE statements, up to the next semicolon outside literals."""
+        clean = self.clean.text
+        if not self._atoms or "IMMEDIATE" not in self.clean.up:
+            return self.clean
+        up, spans, end = self.clean.up, [], 0
+        atoms = [m.start() for m in self._atoms]
+        for m in _DYNAMIC.finditer(up):
+            between = bisect_left(atoms, m.start())
+            if m.start() >= end and not (between < len(atoms) and atoms[between] < m.end()):
+                end = self.clean.statement_end(m.end())
+                spans.append((m.end(), end))
+        if not spans:
+            return self.clean
+        out, at = [], 0
+        for s, e in spans:
+            out.append(clean[at:s])
+            at = s
+            for k in range(bisect_left(atoms, s), bisect_left(atoms, e)):
+                a = self._atoms[k]
+                if a["text"] is not None:
+                    stop = min(a.end(), e)
+                    out += (clean[at : a.start()], self.text[a.start() : stop])
+                    at = stop
+        return View("".join((*out, clean[at:])))
+
+    @cached_property
+    def unquoted(self) -> View:
+        """The visible view with double-quoted names blanked."""
+        text = self.visible.text
+        return View(without(text, [m.span() for m in _NAME_QUOTED.finditer(text)])) if '"' in text else self.visible
+
+    @cached_property
+    def _breaks(self) -> list[int]:
+        return list(places(self.text, "\n"))
+
+    def line(self, pos: int) -> int:
+        return bisect_left(self._breaks, pos) + 1
+
+    def granted(self, pos: int) -> bool:
+        """Whether the statement around an offset, back to the last ; or /, begins with GRANT or REVOKE."""
+        text = self.clean.text
+        start = max(text.rfind(";", 0, pos), text.rfind("/", 0, pos)) + 1
+        return _GRANT.match(self.clean.up, start, pos) is not None
+
+    @cached_property
+    def routines(self) -> list[tuple[int, int, str]]:
+        """(start, end of the name, name) of FUNCTION and PROCEDURE at the beginning of a line; start is the first line's of the blank lines before."""
+        up, out, end = self.clean.up, [], 0
+        for at in sorted((*places(up, "FUNCTION"), *places(up, "PROCEDURE"))):
+            if at < end or not (m := _ROUTINE.match(up, at)):
+                continue
+            ink = at
+            while ink > end and up[ink - 1].isspace():
+                ink -= 1
+            start = 0 if not ink else up.find("\n", ink, at) + 1
+            if start or not ink:
+                end = m.end()
+                out.append((start, end, m[1]))
+        return out
+
+    @cached_property
+    def index(self) -> list[tuple[int, str, str]]:
+        """(offset, kind, name) of packages, routines, triggers and views, by place."""
+        found, careful = [], "GRANT" in self.clean.up or "REVOKE" in self.clean.up
+        for order, (pattern, kind) in enumerate(KINDS):
+            if pattern is None:
+                found += [(start, order, kind, name) for start, _, name in self.routines]
+            else:
+                found += [(m.start(), order, kind, m[1]) for m in self.clean.matches(pattern) if not (careful and self.granted(m.start()))]
+        return [(pos, kind, name) for pos, _, kind, name in sorted(found)]
+
+    @cached_property
+    def _owners(self) -> tuple[list[int], list[str]]:
+        at, names, package = [], [UNKNOWN], None
+        for pos, kind, name in self.index:
+            if kind == "package":
+                package = name
+            elif kind != "nested_routine":
+                package = None
+            at.append(pos)
+            names.append(f"{package}.{name}" if package and kind == "nested_routine" else name)
+        return at, names
+
+    def enclosing(self, pos: int) -> str:
+        """As-of lookup: the name of the object that holds an offset, or UNKNOWN."""
+        at, names = self._owners
+        return names[bisect_right(at, pos)]
+
+
+# --- native columns --------------------------------------------------------------------------------
 
-def veiled(source: Column) -> Column:
-    """The source with comments and literals replaced by a mark for each character."""
-    return F.when(source.rlike(_ANY_ATOM), _veil(source, _ATOMS, VEIL)).otherwise(source)
 
-
-def clean(veiled_source: Column) -> Column:
-    """The view without comments and literals."""
-    return F.translate(veiled_source, VEIL, " ")
-
-
-def visible(source: Column, veiled_source: Column) -> Column:
-    """The clean view in which the literals of EXECUTE IMMEDIATE statements, up to the next semicolon outside literals, can be seen."""
-    bare = _veil(source, _ATOMS, " ", but=r"^(?:'|[nN]?[qQ]')")
-    parts = _alternate(veiled_source, _DYNAMIC)
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    shown = F.aggregate(
-        F.transform(parts, lambda p, i: F.struct(p.alias("p"), (i % 2 == 1).alias("dynamic"))),
-        zero,
-        lambda a, x: F.struct((a["pos"] + F.length(x["p"])).alias("pos"), F.array_append(a["out"], F.when(x["dynamic"], F.substr(bare, a["pos"] + 1, F.length(x["p"]))).otherwise(clean(x["p"]))).alias("out")),
-        lambda a: F.array_join(a["out"], ""),
-    )
-    return F.when(veiled_source.rlike(_DYNAMIC), shown).otherwise(clean(veiled_source))
-
-
-def unquoted(view: Column) -> Column:
-    """The view with double-quoted names blanked."""
-    return F.when(view.contains('"'), _veil(view, '"[^"]*"', " ")).otherwise(view)
+def normalise(source: Column) -> Column:
+    """Line ends as \\n."""
+    return F.regexp_replace(source, "\r\n?", "\n")
 
 
 def breaks(text: Column) -> Column:
@@ -76,106 +268,22 @@ def breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def hits(text: Column, pattern: str, group: str = "") -> Column:
-    """All matches of a pattern, left to right without overlap, in one pass.
-
-    pos and line of each, the match m, the group g (such as "$1"), and rest: the text behind
-    the match up to the next one.
-    """
-    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{FIELD}{group}{FIELD}"), MARK)
-    found = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.split(p, FIELD))
-    first = F.get(pieces, F.lit(0))
-    zero = F.struct(F.length(first).alias("pos"), (breaks(first) + 1).alias("line"), F.array().cast(HIT).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        m, g, rest = (F.get(x, F.lit(i)) for i in range(3))
-        hit = F.struct(a["pos"].alias("pos"), a["line"].alias("line"), m.alias("m"), g.alias("g"), rest.alias("rest"))
-        return F.struct((a["pos"] + F.length(m) + F.length(rest)).alias("pos"), (a["line"] + breaks(m) + breaks(rest)).alias("line"), F.array_append(a["out"], hit).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(found, zero, step, lambda a: a["out"])).otherwise(F.array().cast(HIT))
-
-
 def line_at(text: Column, pos: Column) -> Column:
     return breaks(F.substr(text, F.lit(1), pos)) + 1
 
 
-def balanced(text: Column) -> Column:
-    """The number of characters up to the parenthesis that closes the one at the start, or all."""
-    tokens = F.regexp_extract_all(text, F.lit(r"[()]|[^()]++"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("over"))
-
-    def step(a: Column, t: Column) -> Column:
-        depth = a["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
-        return F.when(a["over"], a).otherwise(F.struct(depth.alias("depth"), (a["n"] + F.length(t)).alias("n"), ((t == ")") & (depth == 0)).alias("over")))
-
-    return F.aggregate(tokens, zero, step, lambda a: a["n"])
-
-
-ROUTINE = rf"{FLAGS}(?m:^)\s*(?:FUNCTION|PROCEDURE)\s+({ID})"
-_MAKE, _EDITION = "CREATE [OR REPLACE]", "[EDITIONABLE|NONEDITIONABLE]"
-PACKAGE = named(f"{_MAKE} {_EDITION} PACKAGE [BODY]")
-PACKAGE_BODY = named(f"{_MAKE} {_EDITION} PACKAGE BODY")
-PACKAGE_SPEC = FLAGS + phrase(f"{_MAKE} {_EDITION}") + named(r"PACKAGE(?!\s+BODY\b)")[len(FLAGS) :]
-STANDALONE = FLAGS + phrase(f"{_MAKE} {{FUNCTION|PROCEDURE}}").replace("(FUNCTION", "(?:FUNCTION") + rf"\s+({ID})"
-TRIGGER = named(f"{_MAKE} {_EDITION} TRIGGER")
-VIEW = named(f"{_MAKE} [FORCE|NOFORCE] {_EDITION} [MATERIALIZED] VIEW")
-
-
-def granted(text: Column, pos: Column) -> Column:
-    """Whether the statement around an offset, back to the last ; or /, begins with GRANT or REVOKE."""
-    before = F.substring_index(F.translate(F.substr(text, F.lit(1), pos), "/", ";"), ";", -1)
-    return before.rlike(r"(?i)^\s*(?:GRANT|REVOKE)\b")
-
-
-def _entry(order: Column, kind: Column, h: Column) -> Column:
-    return F.struct(h["pos"].alias("pos"), order.alias("o"), kind.alias("kind"), F.upper(h["g"]).alias("name"))
-
-
-def containers(text: Column) -> Column:
-    """The index of a clean view: where packages, routines, triggers and views begin, by place."""
-    kinds = [(PACKAGE_BODY, "package"), (PACKAGE_SPEC, "package"), (ROUTINE, "nested_routine"), (STANDALONE, "standalone_routine"), (TRIGGER, "trigger"), (VIEW, "view")]
-    scans = []
-    for order, (pattern, kind) in enumerate(kinds):
-        found = hits(text, pattern, "$1")
-        if kind != "nested_routine":
-            found = F.when(text.rlike(r"(?i)\b(?:GRANT|REVOKE)\b"), F.filter(found, lambda h: ~granted(text, h["pos"]))).otherwise(found)
-        entry = partial(_entry, F.lit(order), F.lit(kind))
-        scans.append(F.transform(found, lambda h: entry(h)))  # noqa: PLW0108  Spark looks at the lambda's signature
-    return F.transform(F.array_sort(F.concat(*scans)), lambda x: F.struct(x["pos"].alias("pos"), x["kind"].alias("kind"), x["name"].alias("name")))
-
-
-def enclosing(index: Column, pos: Column) -> Column:
-    """As-of lookup: the name of the object that holds an offset, or UNKNOWN."""
-    text = lambda: F.lit(None).cast("string")
-    zero = F.struct(text().alias("package"), text().alias("leaf"), F.lit(False).alias("nested"))
-
-    def step(a: Column, x: Column) -> Column:
-        package, nested = x["kind"] == "package", x["kind"] == "nested_routine"
-        return F.struct(
-            F.when(package, x["name"]).when(nested, a["package"]).alias("package"),
-            F.when(~package, x["name"]).alias("leaf"),
-            nested.alias("nested"),
-        )
-
-    def name(a: Column) -> Column:
-        full = F.concat_ws(".", F.when(a["nested"], a["package"]), a["leaf"])
-        return F.when(a["leaf"].isNotNull(), full).otherwise(F.coalesce(a["package"], F.lit("UNKNOWN")))
-
-    return F.aggregate(F.filter(index, lambda x: x["pos"] <= pos), zero, step, name)
-
-
 def object_count(index: Column) -> Column:
     return F.size(F.filter(index, lambda x: x["kind"] != "nested_routine"))
 
 
 def has_connect_by(view: Column) -> Column:
-    return view.rlike(words("CONNECT BY"))
+    return view.rlike("(?i)" + words("CONNECT BY"))
 
 
 def object_type(view: Column) -> Column:
     """The kind of object a file most likely holds."""
     tests = [("PACKAGE", words("PACKAGE BODY"))] + [(k, words(f"CREATE [OR REPLACE] {k}")) for k in ("TRIGGER", "PROCEDURE", "FUNCTION", "VIEW")]
-    out = F.when(view.rlike(tests[0][1]), tests[0][0])
+    out = F.when(view.rlike("(?i)" + tests[0][1]), tests[0][0])
     for kind, pattern in tests[1:]:
-        out = out.when(view.rlike(pattern), kind)
+        out = out.when(view.rlike("(?i)" + pattern), kind)
     return out.otherwise("PACKAGE")

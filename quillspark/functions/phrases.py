@@ -1,4 +1,4 @@
-"""Keyword phrases as Java regular expressions.
+"""Keyword phrases as regular expressions on text in upper case.
 
 A phrase is a run of words between which any white space may stand.  "[A|B C]" may be left
 out, "{A|B C}" must be there and is captured.
@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import re
 
-ID = r"[A-Za-z_][A-Za-z0-9_$#]*"
+ID = r"[A-Z_][A-Z0-9_$#]*"
 _Q = '"?'
 _GAP = r"\s+"
-FLAGS = "(?id)"
 
 
 def _words(text: str) -> str:
@@ -19,7 +18,7 @@ def _words(text: str) -> str:
 
 
 def phrase(text: str) -> str:
-    """The phrase without word borders, flags, or white space at its ends."""
+    """The phrase without word borders or white space at its ends."""
     out, gap = "", False
     for part in re.findall(r"\[[^\]]*\]|\{[^}]*\}|\S+", text):
         if gap:
@@ -33,10 +32,10 @@ def phrase(text: str) -> str:
 
 def words(text: str) -> str:
     """The phrase as whole words."""
-    return rf"{FLAGS}\b{phrase(text)}\b"
+    return rf"\b{phrase(text)}\b"
 
 
 def named(text: str) -> str:
     """The phrase and a name, with or without schema and quotes; the name's last part is captured."""
     lead = phrase(f"{text} @")[:-1]
-    return FLAGS + lead + rf"(?:{_Q}{ID}{_Q}\.)?{_Q}({ID}){_Q}"
+    return lead + rf"(?:{_Q}{ID}{_Q}\.)?{_Q}({ID}){_Q}"

@@ -1,33 +1,38 @@
 """The scan: sources to findings.
 
-Each file's views and container index are made once; the detectors become array columns over
-them, one per detector, which are concatenated and exploded.  Only files that may hold block
-structures go through Python, and nothing is shuffled.
+One pass over Arrow batches: a file's masked views, lines and object index are made once, as
+far as a detector asks for them, and all detectors run on them, each in time linear in the
+text and its hits.  Nothing is shuffled.  Where only some detectors are asked for, a native
+filter leaves out the files that hold none of the words these begin with.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexer as L
-from quillspark.functions.kept import kept
-from quillspark.functions.phrases import FLAGS, ID, words
 
-from . import blocks
-from .specs import ALL, BY_NAME, CALLS_CONVERTED, GENERATED, SPECS, STATE, Part, Spec
+from . import detect
+from .specs import BY_NAME, GENERATED, SPECS, Spec
 
-NEAR = 2000
-ROW = "array<struct<pos:int,line:int,object_name:string,snippet:string,message_no:int>>"
 FINDING = ["detector", "severity", "object_name", "line", "snippet", "message", "source_file"]
 ORDER = ["file_seq", "detector_seq", "hit_seq"]
-_plugins: dict[str, tuple[Spec, Callable[[Column, Column, Column], Column]]] = {}
-
-
-def register_detector(spec: Spec, rows: Callable[[Column, Column, Column], Column]) -> None:
-    """Add a detector of one's own: rows(clean, visible, index) gives an array of (pos, line, object_name, snippet, message_no)."""
+SCHEMA = "detector string, severity string, object_name string, line int, snippet string, message string, source_file string, file_seq int, detector_seq int, hit_seq int"
+VIEWS = f"source_file string, file_seq int, clean string, visible string, idx {L.INDEX}"
+_FOUND = pa.schema([(c, pa.int32() if c in ("line", *ORDER) else pa.string()) for c in FINDING + ORDER])
+_ENTRY = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("name", pa.string())])
+_VIEWS = pa.schema([("source_file", pa.string()), ("file_seq", pa.int32()), ("clean", pa.string()), ("visible", pa.string()), ("idx", pa.list_(_ENTRY))])
+BATCH_FINDINGS, BATCH_FILES = 20_000, 64
+Rows = Callable[[L.Source], Iterable[tuple[int, "str | None", str, int]]]
+_plugins: dict[str, tuple[Spec, Rows]] = {}
+
+
+def register_detector(spec: Spec, rows: Rows) -> None:
+    """Add a detector of one's own: rows(source) gives (offset, object or None for the one around it, snippet, number of the message); it runs on the executors."""
     _plugins[spec.name] = (spec, rows)
 
 
@@ -35,231 +40,97 @@ def unregister_detector(name: str) -> None:
     _plugins.pop(name, None)
 
 
-def with_views(sources: DataFrame) -> DataFrame:
-    """source_file, file_seq, clean, visible and idx of sources (source_file, source, and file_seq if there is one).
-
-    A null source is an empty text.
-    """
+def _sources(sources: DataFrame) -> DataFrame:
     seq = F.col("file_seq").cast("int") if "file_seq" in sources.columns else F.lit(0)
-    text = L.normalise(F.coalesce(F.col("source").cast("string"), F.lit("")))
-    base = sources.select(F.col("source_file").cast("string").alias("source_file"), seq.alias("file_seq"), text.alias("source"))
-    base = base.withColumn("veiled", kept("veiled", lambda: L.veiled(F.col("source"))))
-    shown = kept("visible", lambda: L.visible(F.col("source"), F.col("veiled")))
-    views = base.select("source_file", "file_seq", L.clean(F.col("veiled")).alias("clean"), shown.alias("visible"))
-    return views.withColumn("idx", kept("idx", lambda: L.containers(F.col("clean"))))
-
-
-def _row(pos: Column, line: Column, name: Column, snippet: Column, part: Part) -> Column:
-    return F.struct(pos.cast("int").alias("pos"), line.cast("int").alias("line"), name.alias("object_name"), snippet.alias("snippet"), F.lit(part.message).alias("message_no"))
-
-
-def _snippet(part: Part, hit: Column) -> Column:
-    if part.snippet == "match":
-        return F.trim(hit["m"])
-    if part.snippet == "collapse":
-        return F.regexp_replace(F.trim(hit["m"]), r"\s+", " ")
-    before, slot, after = part.snippet.partition("{}")
-    return F.concat(F.lit(before), F.regexp_replace(F.upper(hit["g"]), r"\s+", " "), F.lit(after)) if slot else F.lit(part.snippet)
-
-
-def _group(pattern: str) -> str:
-    return "" if "{}" not in pattern else "$1"
-
-
-def _probe(part: Part) -> str:
-    """The groups of a probe, of which only one is matched."""
-    slots = part.probe.replace(r"\(", "").replace("(?", "").count("(")
-    return "".join(f"${i + 1}" for i in range(slots)) if "{}" in part.snippet else ""
-
-
-def _scan(part: Part, view: Column, index: Column) -> Column:
-    found = L.hits(view, part.pattern, _group(part.snippet))
-    for near in part.near:
-        found = F.filter(found, lambda h: F.substr(view, h["pos"] + F.length(h["m"]) + 1, F.lit(NEAR)).rlike(near))  # noqa: B023  called at once
-    return F.transform(found, lambda h: _row(h["pos"], h["line"], L.enclosing(index, h["pos"]), _snippet(part, h), part))
-
-
-def _declare(part: Part, view: Column) -> Column:
-    return F.transform(L.hits(view, part.pattern, "$1"), lambda h: _row(h["pos"], h["line"], F.upper(h["g"]), _snippet(part, h), part))
-
-
-def _inside(part: Part, outer: Column, text: Column, skip: Column) -> Column:
-    """Rows for the probes in a text that begins `skip` characters behind a declaration's match."""
-    line = outer["line"] + L.breaks(outer["m"])
-    pos = outer["pos"] + F.length(outer["m"]) + skip
-    name = F.upper(outer["g"])
-    if part.take == "none":
-        return F.when(text.rlike(part.probe), F.array().cast(ROW)).otherwise(F.array(_row(outer["pos"], outer["line"], name, _snippet(part, outer), part)))
-    found = L.hits(text, part.probe, _probe(part))
-    if part.take != "all":
-        found = F.slice(found, 1, 1)
-    place = {"hit": lambda h: (pos + h["pos"], line + h["line"] - 1), "start": lambda h: (outer["pos"], outer["line"]), "name": lambda h: (pos, line)}[part.at]
-    return F.transform(found, lambda h: _row(*place(h), name, _snippet(part, h), part))
-
-
-def _statement(part: Part, view: Column) -> Column:
-    text = (lambda h: F.substring_index(h["rest"], ";", 1)) if part.ends else (lambda h: h["rest"])
-    return F.flatten(F.transform(L.hits(view, part.pattern, "$1"), lambda h: _inside(part, h, text(h), F.lit(0))))
-
+    return sources.select(F.col("source_file").cast("string").alias("source_file"), seq.alias("file_seq"), F.col("source").cast("string").alias("source"))
 
-def _columns(part: Part, view: Column) -> Column:
-    def rows(h: Column) -> Column:
-        rest = F.substr(view, h["pos"] + F.length(h["m"]) + 1)
-        gap = F.length(F.regexp_extract(h["rest"], r"^[ \t\r\n]*", 0))
-        near = L.balanced(F.substr(h["rest"], gap + 1))
-        closed = near < F.length(h["rest"]) - gap
-        size = F.when(closed, near).otherwise(L.balanced(F.substr(rest, gap + 1)))
-        # the parentheses stay, as probes can't match them at a border
-        inner = F.substr(rest, gap + 2, F.greatest(size - 2, F.lit(0)))
-        found = L.hits(inner, part.probe)
-        line, pos = h["line"] + L.breaks(h["m"]) + L.breaks(F.substr(h["rest"], F.lit(1), gap)), h["pos"] + F.length(h["m"]) + gap + 1
-        own = F.transform(found, lambda x: _row(pos + x["pos"], line + x["line"] - 1, F.upper(h["g"]), _snippet(part, x), part))
-        return F.when(F.substr(h["rest"], gap + 1, F.lit(1)) == "(", own).otherwise(F.array().cast(ROW))
 
-    return F.when(view.rlike(part.probe), F.flatten(F.transform(L.hits(view, part.pattern, "$1"), rows))).otherwise(F.array().cast(ROW))
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str | None, int, L.Source]]:
+    for i in range(batch.num_rows):
+        yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), L.Source(batch.column(2)[i].as_py())
 
 
-def _calls(part: Part, view: Column) -> Column:
-    found = F.filter(L.hits(view, part.pattern), lambda h: ~F.upper(h["m"]).isin(*CALLS_CONVERTED))
-    return F.transform(found, lambda h: _row(h["pos"], h["line"], F.upper(h["m"]), h["m"], part))
-
-
-def _merge(part: Part, view: Column, index: Column) -> Column:
-    def rows(h: Column) -> Column:
-        text = F.substring_index(F.substr(view, h["pos"] + 1), ";", 1)
-        return F.transform(F.slice(L.hits(text, part.probe), 1, 1), lambda x: _row(h["pos"] + x["pos"], h["line"] + x["line"] - 1, L.enclosing(index, h["pos"]), F.trim(x["m"]), part))
-
-    return F.when(view.rlike(part.probe), F.flatten(F.transform(L.hits(view, part.pattern), rows))).otherwise(F.array().cast(ROW))
-
-
-def _local_type(part: Part, view: Column, index: Column) -> Column:
-    made = F.transform(L.hits(view, rf"{FLAGS}\b{part.probe}(?=TYPE\b)"), lambda h: h["pos"] + F.length(h["m"]))
-    found = F.filter(L.hits(view, part.pattern), lambda h: ~F.array_contains(made, h["pos"]))
-    return F.transform(found, lambda h: _row(h["pos"], h["line"], L.enclosing(index, h["pos"]), F.trim(h["m"]), part))
-
-
-def _text_call(part: Part, view: Column, index: Column) -> Column:
-    def scored(h: Column) -> Column:
-        rest = F.substr(view, h["pos"] + F.length(h["m"]))
-        return F.substr(rest, L.balanced(rest) + 1, F.lit(NEAR)).rlike(r"^\s*(?:[<>!]=|<>|[<>=])\s*[\d:]")
-
-    return F.transform(F.filter(L.hits(view, part.pattern, "$1"), scored), lambda h: _row(h["pos"], h["line"], L.enclosing(index, h["pos"]), _snippet(part, h), part))
-
-
-def _package_state(part: Part, view: Column) -> Column:
-    head, routine = rf"{FLAGS}\b(?:IS|AS)\b", {True: L.ROUTINE, False: rf"{FLAGS}\b(?:PROCEDURE|FUNCTION)\b"}
-
-    def rows(h: Column, body: bool) -> Column:
-        def own(x: Column) -> Column:
-            declared = F.get(F.split(F.concat(x["m"], x["rest"]), routine[body], 2), F.lit(0))
-            text = F.substr(declared, F.length(x["m"]) + 1)
-            line, pos = h["line"] + L.breaks(h["m"]) + x["line"] - 1, h["pos"] + F.length(h["m"]) + x["pos"] + F.length(x["m"])
-            return F.transform(L.hits(text, STATE, "$1"), lambda s: _row(pos + s["pos"], line + s["line"] - 1, F.concat_ws(".", F.upper(h["g"]), F.upper(s["g"])), F.regexp_replace(F.trim(F.regexp_replace(s["m"], r"\s+", " ")), " +", " "), part))
-
-        cut = F.split(h["rest"], head, 2)
-        first = F.get(F.regexp_extract_all(h["rest"], F.lit(head), F.lit(0)), F.lit(0))
-        before = F.get(cut, F.lit(0))
-        hit = F.struct(F.length(before).alias("pos"), (L.breaks(before) + 1).alias("line"), first.alias("m"), F.get(cut, F.lit(1)).alias("rest"))
-        return F.when(F.size(cut) > 1, own(hit)).otherwise(F.array().cast(ROW))
+def with_views(sources: DataFrame) -> DataFrame:
+    """source_file, file_seq, clean, visible and idx of sources (source_file, source, and file_seq if there is one).
 
-    both = L.hits(view, L.PACKAGE, "$1")
-    out = []
-    for body in (True, False):
-        own_kind = F.filter(both, lambda h: h["m"].rlike(r"(?i)PACKAGE\s+BODY\s") == F.lit(body))  # noqa: B023  called at once
-        out.append(F.flatten(F.transform(own_kind, lambda h: rows(h, body))))  # noqa: B023
-    return F.concat(*out)
+    A null source is an empty text.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, seq, s in _texts(batch):
+                rows.append((file, seq, s.clean.text, s.visible.text, [dict(zip(("pos", "kind", "name"), e)) for e in s.index]))
+                if len(rows) == BATCH_FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _VIEWS)], schema=_VIEWS)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _VIEWS)], schema=_VIEWS)
 
-def _generated(part: Part, view: Column) -> Column:
-    made = L.hits(view, rf"{FLAGS}CREATE\s+(?:OR\s+REPLACE\s+)?(?:PROCEDURE|FUNCTION)\s+({ID})", "$1")
+    return _sources(sources).mapInArrow(run, VIEWS)
 
-    def rows(h: Column) -> Column:
-        rest = F.substr(view, h["pos"] + F.length(h["m"]))
-        body = F.substr(rest, F.lit(1), L.balanced(rest))
-        name = F.coalesce(F.try_element_at(F.filter(made, lambda r: r["pos"] <= h["pos"]), F.lit(-1))["g"], h["g"])
-        first = F.slice(L.hits(body, rf"{FLAGS}(?<![A-Za-z0-9_$#])(?:\w+\.)?LEVEL\b"), 1, 1)
-        return F.transform(first, lambda x: _row(h["pos"] + F.length(h["m"]) - 1 + x["pos"], h["line"] + L.breaks(h["m"]) + x["line"] - 1, F.upper(name), F.trim(x["m"]), part))
 
-    return F.flatten(F.transform(L.hits(view, rf"{FLAGS}\bWITH\s+RECURSIVE\s+({ID})\s+AS\s*\(", "$1"), rows))
+def _run(specs: list[tuple[int, Spec, Rows | None]], at_line_0: bool = False):
+    """Findings of the given detectors, in batches."""
 
+    def hits(spec: Spec, own: Rows | None, s: L.Source) -> Iterator[detect.Hit]:
+        if own is None:
+            yield from detect.hits(spec, s)
+        else:
+            for pos, name, snippet, message in own(s):
+                yield pos, s.line(pos), s.enclosing(pos) if name is None else name, snippet, message
 
-def part_rows(part: Part, view: Column, index: Column) -> Column:
-    """The hits of a part in a view, in order, as an array."""
-    if part.shape in ("scan", "merge", "local_type", "text_call"):
-        return {"scan": _scan, "merge": _merge, "local_type": _local_type, "text_call": _text_call}[part.shape](part, view, index)
-    return {"declare": _declare, "statement": _statement, "columns": _columns, "calls": _calls, "package_state": _package_state, "generated": _generated}[part.shape](part, view)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
 
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
 
-def _numbered(spec: Spec, seq: int, rows: Column) -> Column:
-    return F.transform(rows, lambda x, i: F.struct(F.lit(spec.name).alias("detector"), F.lit(seq).alias("detector_seq"), i.alias("hit_seq"), x["line"].alias("line"), x["object_name"].alias("object_name"), x["snippet"].alias("snippet"), x["message_no"].alias("message_no")))
+        for batch in batches:
+            for file, seq, s in _texts(batch):
+                for number, spec, own in specs:
+                    for k, (_, line, name, snippet, message) in enumerate(hits(spec, own, s)):
+                        rows.append((spec.name, spec.severity, name, 0 if at_line_0 else line, snippet, spec.messages[message], file, seq, number, k))
+                        if len(rows) == BATCH_FINDINGS:
+                            yield packed()
+                            rows.clear()
+        if rows:
+            yield packed()
 
+    return run
 
-_BLOCK_TESTS = {
-    "autonomous_tx": lambda c, v: v.rlike(rf"{FLAGS}PRAGMA\s+AUTONOMOUS_TRANSACTION\s*;"),
-    "nested_subprogram": lambda c, v: c.rlike(rf"{FLAGS}(?s)\b(?:FUNCTION|PROCEDURE)\s.*\b(?:FUNCTION|PROCEDURE)\s.*\bBEGIN\b"),
-    "recursive_with": lambda c, v: v.rlike(words("WITH")) & v.rlike(words("UNION")),
-}
 
-
-def scan_views(views: DataFrame, detectors: list[str] | None = None) -> DataFrame:
-    """Findings of views, with the hidden order columns file_seq, detector_seq and hit_seq."""
-    specs = [(i, s) for i, s in enumerate(SPECS) if detectors is None or s.name in detectors]
-    wanted = {n: x for n, x in _plugins.items() if detectors is None or n in detectors}
-    unknown = set(detectors or []) - {s.name for s in SPECS} - set(wanted)
-    if unknown:
-        raise ValueError(f"no such detector: {sorted(unknown)}")
-    clean, visible, idx = F.col("clean"), F.col("visible"), F.col("idx")
-    look = {"clean": clean, "visible": visible, "unquoted": L.unquoted(visible)}
-    arrays, python = [], []
-    for seq, spec in specs:
-        if spec.parts[0].shape in ("blocks", "chains"):
-            python.append(spec.name)
-        else:
-            arrays.append(kept(spec.name, lambda: _numbered(spec, seq, F.concat(*[part_rows(p, look[p.view], idx).cast(ROW) for p in spec.parts]))))  # noqa: B023  called at once
-    arrays += [_numbered(s, len(SPECS) + i, rows(clean, visible, idx).cast(ROW)) for i, (s, rows) in enumerate(wanted.values())]
-    columns = ["source_file", "file_seq", "detector", "detector_seq", "hit_seq", "line", "object_name", "snippet", "message_no"]
-    out = None
-    if arrays:
-        hit = F.explode(F.concat(*arrays)).alias("hit")
-        out = views.select("source_file", "file_seq", hit).select("source_file", "file_seq", "hit.*").select(*columns)
-    if python:
-        test = _BLOCK_TESTS[python[0]](clean, visible)
-        for name in python[1:]:
-            test = test | _BLOCK_TESTS[name](clean, visible)
-        some = views.filter(test).select(F.struct("source_file", "file_seq", "idx").alias("key"), "clean", "visible")
-        some = some.select(F.to_json(F.struct(F.col("key.*"))).alias("source_file"), "clean", "visible")
-        found = some.mapInArrow(blocks.rows(python), blocks.OUT_DDL)
-        key = F.from_json("source_file", f"source_file string, file_seq int, idx {L.INDEX}")
-        found = found.withColumn("key", key).withColumn("seq", F.element_at(F.create_map(*[F.lit(x) for i, s in specs for x in (s.name, i)]), F.col("detector")))
-        name = F.when(F.col("look_up"), L.enclosing(F.col("key.idx"), F.col("pos"))).otherwise(F.col("object_name"))
-        found = found.select("key.source_file", "key.file_seq", "detector", F.col("seq").alias("detector_seq"), "hit_seq", "line", name.alias("object_name"), "snippet", F.lit(0).alias("message_no"))
-        out = found if out is None else out.unionByName(found)
-    return _told(out, [*ALL, *(s for s, _ in wanted.values())])
-
-
-def _told(rows: DataFrame, specs: list[Spec]) -> DataFrame:
-    """Severity and message, by the detector's name."""
-    severity = F.element_at(F.create_map(*[F.lit(x) for s in specs for x in (s.name, s.severity)]), F.col("detector"))
-    messages = F.create_map(*[x for s in specs for x in (F.lit(s.name), F.array(*[F.lit(m) for m in s.messages]))])
-    message = F.get(F.element_at(messages, F.col("detector")), F.col("message_no"))
-    return rows.select("detector", severity.alias("severity"), "object_name", "line", "snippet", message.alias("message"), "source_file", *ORDER)
+def _may_hold(specs: list[Spec]) -> Column | None:
+    """Whether a text has one of the words that the detectors' hits begin with; None where a detector has none."""
+    needed = [detect.begins(s) for s in specs]
+    if not all(needed):
+        return None
+    up, out = F.upper(F.lower(F.col("source"))), F.lit(False)
+    for word in sorted({w for ws in needed for w in ws}):
+        out = out | up.contains(word)
+    return out
 
 
 def scan(sources: DataFrame, detectors: list[str] | None = None) -> DataFrame:
     """Findings of sources: one row for each construct that a detector finds.
 
     Columns: detector, severity, object_name, line, snippet, message, source_file, and the
-    order of emission, file_seq, detector_seq and hit_seq.  An empty table or text gives none.
+    order of emission, file_seq, detector_seq and hit_seq.  A null or empty text and an empty
+    table give none; repeated files give repeated findings; other columns are ignored.
     """
-    return scan_views(with_views(sources), detectors)
+    specs = [(i, s, None) for i, s in enumerate(SPECS) if detectors is None or s.name in detectors]
+    specs += [(len(SPECS) + i, s, rows) for i, (s, rows) in enumerate(_plugins.values()) if detectors is None or s.name in detectors]
+    unknown = set(detectors or []) - {s.name for _, s, _ in specs}
+    if unknown:
+        raise ValueError(f"no such detector: {sorted(unknown)}")
+    texts = _sources(sources).filter("source <> ''")
+    test = _may_hold([s for _, s, _ in specs]) if detectors is not None and not any(own for _, _, own in specs) else None
+    return (texts if test is None else texts.filter(test)).mapInArrow(_run(specs), SCHEMA)
 
 
 def lint_generated(generated: DataFrame) -> DataFrame:
     """Findings in generated code, of the detector that isn't part of the scan; line 0, as the place is not one of the source."""
-    views = with_views(generated)
-    hit = F.explode(kept(GENERATED.name, lambda: _numbered(GENERATED, len(SPECS), part_rows(GENERATED.parts[0], F.col("clean"), F.col("idx")).cast(ROW)))).alias("hit")
-    rows = views.select("source_file", "file_seq", hit).select("source_file", "file_seq", "hit.*").withColumn("line", F.lit(0))
-    return _told(rows, list(ALL))
+    return _sources(generated).mapInArrow(_run([(len(SPECS), GENERATED, None)], at_line_0=True), SCHEMA)
 
 
 def total_objects(views: DataFrame) -> DataFrame:
@@ -267,4 +138,4 @@ def total_objects(views: DataFrame) -> DataFrame:
     return views.select("source_file", L.object_count(F.col("idx")).cast("long").alias("objects"))
 
 
-__all__ = ["BY_NAME", "FINDING", "ORDER", "lint_generated", "register_detector", "scan", "scan_views", "total_objects", "unregister_detector", "with_views"]
+__all__ = ["BY_NAME", "FINDING", "ORDER", "lint_generated", "register_detector", "scan", "total_objects", "unregister_detector", "with_views"]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.lexer import normalise
+from quillspark.functions.lexer import Source, normalise
 
 SUFFIXES = (".sql", ".pks", ".pkb")
 SCHEMA = "source_file string, source string, file_seq int"
@@ -61,26 +64,28 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter(F.col("path").rlike(r"(?i)\.(?:sql|pks|pkb)$")).dropDuplicates(["path"]).select(F.col("path").alias("source_file"), decode(F.col("content")).alias("source"), F.lit(0).alias("file_seq"))
 
 
+_SLASH = re.compile(r"(?m)^[ \t]*/[ \t]*$")
+_SEMICOLON = re.compile(";")
+_STATEMENTS = pa.schema([("source_file", pa.string()), ("n", pa.int64()), ("statement", pa.string())])
+
+
+def statements_of(text: str | None) -> list[str]:
+    """The statements of a script: cut at lines of / alone, outside comments and literals, else at each semicolon; what is blank without comments and literals is left out."""
+    s = Source(text)
+    clean = s.clean.text
+    cuts = [m.span() for m in _SLASH.finditer(clean)] or [m.span() for m in _SEMICOLON.finditer(s.text)]
+    starts, ends = [0, *(e for _, e in cuts)], [*(b for b, _ in cuts), len(clean)]
+    return [s.text[a:b].strip() for a, b in zip(starts, ends) if clean[a:b].strip()]
+
+
 def split_statements(sources: DataFrame) -> DataFrame:
-    """source_file, n and statement of SQL scripts.
+    """source_file, n from 0 and statement of SQL scripts; a null or empty source has none."""
 
-    A script with lines of / alone, outside comments and literals, is cut there, else at each
-    semicolon; what is blank without comments and literals is left out.
-    """
-    from quillspark.functions import lexer as L
-
-    rows = sources.select("source_file", normalise(F.coalesce("source", F.lit(""))).alias("text"))
-    rows = rows.withColumn("clean", L.clean(L.veiled(F.col("text"))))
-    slash = r"(?m)^[ \t]*/[ \t]*$"
-
-    def pieces(h):
-        return F.transform(h, lambda x: F.struct((x["pos"] + F.length(x["m"])).alias("end"), x["pos"].alias("start")))
-
-    by_slash, by_end = pieces(L.hits(F.col("clean"), slash)), pieces(L.hits(F.col("text"), ";"))
-    cuts = F.when(F.col("clean").rlike(slash), by_slash).otherwise(by_end)
-    edge = F.struct(F.length("text").alias("end"), F.length("text").alias("start"))
-    rows = rows.withColumn("cuts", F.array_append(cuts, edge))
-    starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["end"]))
-    parts = F.transform("cuts", lambda c, i: F.struct(F.substr("text", F.get(starts, i) + 1, c["start"] - F.get(starts, i)).alias("statement"), F.substr("clean", F.get(starts, i) + 1, c["start"] - F.get(starts, i)).alias("bare")))
-    kept = F.filter(parts, lambda p: F.regexp_replace(p["bare"], r"\s", "") != "")
-    return rows.select("source_file", F.posexplode(kept).alias("n", "p")).select("source_file", F.col("n").cast("long").alias("n"), F.trim(F.regexp_replace(F.col("p.statement"), r"^\s+|\s+$", "")).alias("statement"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, text in zip(*(batch.column(c) for c in (0, 1))):
+                got = statements_of(text.as_py())
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(got), pa.string()), pa.array(range(len(got)), pa.int64()), pa.array(got, pa.string())], schema=_STATEMENTS)
+
+    return sources.select(F.col("source_file").cast("string"), F.col("source").cast("string")).mapInArrow(run, "source_file string, n long, statement string")
