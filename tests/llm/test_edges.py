@@ -131,9 +131,9 @@ def test_quality(spark, docs, empty):
 
 
 def test_neighbours(spark):
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [1.0, None]), (None, [1.0, 1.0]), (7, [1.0]), (8, [float("nan"), 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1))
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [1.0, None]), (None, [1.0, 1.0]), (7, [1.0]), (8, [float("nan"), 1.0]), (9, [float("inf"), 1.0]), (11, [2.0, 0.0, 1.0]), (12, [1.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("floor", F.lit("x"))
     got = {(r["vec_id"], r["rank"]): (r["neighbour_id"], r["score"]) for r in ann.neighbours(df).collect()}
-    assert got == {(1, 1): (2, 1.0), (1, 2): (3, 0.0), (2, 1): (1, 1.0), (2, 2): (3, 0.0), (3, 1): (1, 0.0), (3, 2): (2, 0.0)}
+    assert got == {(1, 1): (2, 1.0), (1, 2): (3, 0.0), (2, 1): (1, 1.0), (2, 2): (3, 0.0), (3, 1): (1, 0.0), (3, 2): (2, 0.0), (11, 1): (12, 3.0), (12, 1): (11, 3.0)}
     assert ann.neighbours(df.limit(0)).count() == 0
     assert ann.neighbours(df.filter("vec_id = 1")).count() == 0

@@ -207,6 +207,32 @@ def test_neighbours_recall(spark):
     assert all(abs(s[at[r["vec_id"]], at[r["neighbour_id"]]] - r["score"]) < 1e-5 for r in got)
 
 
+def test_neighbours_of_the_stated_queries(spark, monkeypatch):
+    """op10 in small parts, so that every cell is cut, against brute force."""
+    monkeypatch.setattr(ann, "PART_ROWS", 7)
+    t = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, ids = np.stack(t["embedding"]).astype(np.float64), t["vec_id"].to_numpy()
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    want = {(ids[i], ids[j]) for i in np.flatnonzero(ids % 100 == 0) for j in np.lexsort((ids, -s[i]))[:10]}
+    got = {(r["vec_id"], r["neighbour_id"]) for r in ann.op10_ann(spark, SF).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_floors_and_bounds_lose_few_and_open_few():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((4000, 64))
+    codes, ids = ann.Codes(x, x.mean(axis=0), ann.rotation(64)), np.arange(4000)
+    q = rng.standard_normal((20, 64))
+    s = q @ x.T
+    floors = np.sort(s, axis=1)[:, -10]
+    a, b, score = ann._best(np.arange(20) + 10_000, q, floors, ids, codes, 10)
+    want = {(i + 10_000, j) for i in range(20) for j in np.argsort(-s[i])[:10]}
+    assert len(want & set(zip(a, b))) >= 0.9 * len(want)
+    estimate, error = codes.estimate(q)
+    assert (estimate + error >= floors[:, None]).mean() < 0.25
+
+
 def test_estimates_keep_to_their_bounds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 64)).astype(np.float32)
