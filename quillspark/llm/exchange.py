@@ -2,8 +2,13 @@
 
 A row for each n-gram would cost Spark about 40 bytes in the shuffle.  Here a task packs the
 hashes of a few million n-grams (a *unit*) into one binary row for each hash bucket, about
-5 to 6 bytes an n-gram; a bucket's rows meet in one group, where numpy finds what the
-operator asks for, and only the hits travel back to their unit, which names the documents.
+6 bytes an n-gram; a bucket's rows meet in one group, where numpy finds what the operator asks
+for, and only the hits travel back to their unit, which names the documents.
+
+Equal hashes of a unit are one entry with their number, so an n-gram that all documents have
+costs its bucket one entry a unit and no bucket is hot; which places an entry stands for stays
+with the unit's head, which travels once.  Where buckets are many, units are larger, so that a
+row keeps some dozens of entries.
 
 Lost tasks may be run again at any time, so a unit is named by its partition and ordinal;
 the input must give the same rows in the same order when a partition is read again, which
@@ -23,19 +28,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .kernel import U
 
-BLOB = "bucket int, unit long, n int, refs binary, keys binary, head binary"
-_BLOB = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("n", pa.int32()), ("refs", pa.binary()), ("keys", pa.binary()), ("head", pa.binary())])
-FLUSH = 1_500_000
+BLOB = "bucket int, unit long, n int, refs binary, keys binary, marks binary, places binary, head binary"
+_BLOB = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("n", pa.int32())] + [(c, pa.binary()) for c in ("refs", "keys", "marks", "places", "head")])
+MET = "unit long, n int, refs binary, marks binary, head binary"
+_MET = pa.schema([("unit", pa.int64()), ("n", pa.int32()), ("refs", pa.binary()), ("marks", pa.binary()), ("head", pa.binary())])
+#: Entries of a unit: the least, the most, and how many a bucket in between.
+FLUSH, MOST_FLUSH, ROW_ENTRIES = 1_500_000, 8_000_000, 48
+_MANY = 1 << 15
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 128 << 20) -> int:
     """Hash buckets for a table: the session's shuffle partitions, more if they would be large.
 
-    The size is the optimizer's estimate, so this starts no job; it changes no result.
+    Beyond _MANY buckets (4 TB) their number and their size both grow with the square root of
+    the table, so that units of MOST_FLUSH entries still fill their rows.  The size is the
+    optimizer's estimate, so this starts no job; it changes no result.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     have = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(have, min(1 << 20, size // bytes_each + 1))
+    want = size // bytes_each + 1
+    return max(have, want if want <= _MANY else min(1 << 20, int((want * _MANY) ** 0.5)))
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
@@ -76,45 +88,71 @@ def widen(blob: bytes, n: int) -> np.ndarray:
 class Packer:
     """Collects (hash, reference) entries of one task and yields packed rows."""
 
-    def __init__(self, buckets: int, head_each: bool = False, wide: bool = False):
-        """head_each: every row has its unit's head.  wide: keys keep all 64 bits, not 32 besides the bucket."""
-        self.buckets, self.head_each, self.key = buckets, head_each, U if wide else np.uint32
+    def __init__(self, buckets: int, flagged: bool = False, placed: bool = False):
+        """flagged: bit 0 of a hash is no part of it, and an entry has it if one of its places has.  placed: entries come with (doc_id, position), their keys keep all 64 bits, and the lowest place stands for its entry."""
+        self.buckets, self.flagged, self.placed = buckets, flagged, placed
+        self.limit = min(max(FLUSH, ROW_ENTRIES * buckets), MOST_FLUSH)
         self.unit = TaskContext.get().partitionId() << 32
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.refs, self.heads, self.size, self.base = [], [], [], 0, 0
+        self.hashes, self.refs, self.places, self.heads, self.size, self.base = [], [], [], [], 0, 0
 
-    def add(self, hashes: np.ndarray, refs: np.ndarray, head: pa.RecordBatch, span: int) -> Iterator[pa.RecordBatch]:
-        """refs rise from 0 to span - 1; head has what the unit needs to read them again."""
+    def add(self, hashes: np.ndarray, refs: np.ndarray, head: pa.RecordBatch, span: int, places: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """refs rise from 0 to span - 1; head has what the unit needs to read them again; places: rows of doc_id and position."""
         self.hashes.append(hashes)
         self.refs.append(refs + self.base)
+        self.places.append(places)
         self.heads.append(head)
-        self.size += len(hashes) + head.num_rows
+        self.size += len(hashes) + head.num_rows + (span >> 6)
         self.base += span
-        if self.size >= FLUSH:
+        if self.size >= self.limit:
             yield from self.flush()
 
+    def _merged(self, h: np.ndarray, at: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of places of each entry (0: another one stands for it), that other one, and whether it has another place."""
+        same = h >> U(1) if self.flagged else h
+        order = np.argsort(same) if at is None else np.lexsort((at[:, 1], at[:, 0], same))
+        first = np.ones(len(h), dtype=bool)
+        first[1:] = same[order[1:]] != same[order[:-1]]
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(h)))
+        rep, by = np.repeat(order[start], size), np.empty(len(h), np.int64)
+        by[order] = rep
+        elsewhere = np.zeros(len(h), dtype=bool)
+        if at is not None:
+            elsewhere = (at[by] != at).any(axis=1)
+            size = 1 + np.add.reduceat(elsewhere[order].astype(np.int64), start) if len(h) else size
+        number = np.zeros(len(h), np.uint8)
+        number[order[start]] = np.minimum(size, 255)
+        if self.flagged and len(h):
+            h[order[start]] |= np.maximum.reduceat(h[order] & U(1), start)
+        return number, by, elsewhere
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.heads:
             return
         h, r = np.concatenate(self.hashes), np.concatenate(self.refs)
+        at = np.concatenate(self.places) if self.placed else None
+        number, by, elsewhere = self._merged(h, at)
+        rest, own = np.flatnonzero(number == 0), np.flatnonzero(number)
+        stands = narrow(r[rest]), (r[by[rest]].astype(np.uint32) << np.uint32(1) | elsewhere[rest]).astype(np.uint32).tobytes()
+        h, r, number = h[own], r[own], number[own]
         b = ((h >> U(32)) % U(self.buckets)).astype(np.uint16 if self.buckets < 1 << 16 else np.uint32)
         order = np.argsort(b, kind="stable")
-        b, r, key = b[order], r[order], h[order].astype(self.key)
-        cuts = np.flatnonzero(np.diff(b, prepend=-1 if len(b) else 0)) if len(b) else np.zeros(0, np.int64)
+        b, r, key, number = b[order], r[order], h[order].astype(U if self.placed else np.uint32), number[order]
+        doc, pos = (at[own][order, 0], at[own][order, 1].astype(np.int32)) if self.placed else (None, None)
+        cuts = np.flatnonzero(np.diff(b.astype(np.int64), prepend=-1)) if len(b) else np.zeros(0, np.int64)
         ends = np.append(cuts[1:], len(b))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.heads[0].schema) as out:
             for x in self.heads:
                 out.write_batch(x)
-        head = sink.getvalue().to_pybytes()
         home = (self.unit * 31 + (self.unit >> 32)) % self.buckets
-        rows = [(int(b[s]), self.unit, int(e - s), narrow(r[s:e]), key[s:e].tobytes(), head if self.head_each else None) for s, e in zip(cuts, ends)]
-        if not self.head_each:
-            rows.append((home, self.unit, 0, b"", b"", head))
-        for at in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[at : at + 64]), _BLOB)], schema=_BLOB)
+        rows = [(int(b[s]), self.unit, int(e - s), narrow(r[s:e]), key[s:e].tobytes(), number[s:e].tobytes(), doc[s:e].tobytes() + pos[s:e].tobytes() if self.placed else None, None) for s, e in zip(cuts, ends)]
+        rows.append((home, self.unit, 0, stands[0], stands[1], len(rest).to_bytes(8, "little"), None, sink.getvalue().to_pybytes()))
+        for s in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[s : s + 64]), _BLOB)], schema=_BLOB)
         self.unit += 1
         self._clear()
 
@@ -123,40 +161,59 @@ def read_head(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-Group = Callable[[np.ndarray, np.ndarray, np.ndarray, list], tuple[np.ndarray, np.ndarray]]
+def _placed(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int32, n, 8 * n)
 
 
-def meet(blobs: DataFrame, choose: Group, extra: bool = False) -> DataFrame:
-    """In each bucket: choose(keys, unit ordinals, refs, heads) gives the rising entries to keep and a byte for each.
+#: choose(keys, numbers of places, doc_ids and positions of the first) gives the rising entries to keep and a byte for each.
+Choose = Callable[[np.ndarray, np.ndarray, "tuple[np.ndarray, np.ndarray] | None"], tuple[np.ndarray, np.ndarray]]
 
-    The result has a row for each unit and bucket: unit, n, refs, bytes, head.
-    """
-    out = pa.schema([("unit", pa.int64()), ("n", pa.int32()), ("refs", pa.binary()), ("marks", pa.binary()), ("head", pa.binary())])
+
+def meet(blobs: DataFrame, choose: Choose) -> DataFrame:
+    """choose() in each bucket; the result has the kept entries for each unit and bucket, and each unit's head: MET."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = [r for r in table.to_pylist()]
-        full = [r for r in rows if r["n"]]
-        keep, marks = np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        n = np.array([r["n"] for r in full], dtype=np.int64)
-        refs = np.concatenate([widen(r["refs"], r["n"]) for r in full]) if full else keep
+        full, heads = [], []
+        for r in table.to_pylist():
+            (full if r["n"] else heads).append(r)
+        res = [(r["unit"], 0, r["refs"] + r["keys"], r["marks"], r["head"]) for r in heads]
         if full:
-            keys = np.concatenate([np.frombuffer(r["keys"], dtype=U if len(r["keys"]) == 8 * r["n"] else np.uint32) for r in full])
-            keep, marks = choose(keys, np.repeat(np.arange(len(full)), n), refs, [r["head"] for r in full])
-        at = np.searchsorted(keep, np.concatenate([[0], np.cumsum(n)]))
-        res = [(r["unit"], int(e - s), narrow(refs[keep[s:e]]), marks[s:e].tobytes(), r["head"] if extra else None) for r, s, e in zip(full, at[:-1], at[1:]) if e > s or extra]
-        res += [(r["unit"], 0, b"", b"", r["head"]) for r in rows if not r["n"]]
+            n = np.array([r["n"] for r in full], dtype=np.int64)
+            keys = np.concatenate([np.frombuffer(r["keys"], dtype=U if r["places"] else np.uint32) for r in full])
+            numbers = np.concatenate([np.frombuffer(r["marks"], dtype=np.uint8) for r in full])
+            at = tuple(np.concatenate(x) for x in zip(*(_placed(r["places"], r["n"]) for r in full))) if full[0]["places"] else None
+            keep, marks = choose(keys, numbers, at)
+            ends = np.searchsorted(keep, np.concatenate([[0], np.cumsum(n)]))
+            base = np.cumsum(n) - n
+            res += [(r["unit"], int(e - s), narrow(widen(r["refs"], r["n"])[keep[s:e] - o]), marks[s:e].tobytes(), None) for r, s, e, o in zip(full, ends[:-1], ends[1:], base) if e > s]
         cols = list(zip(*res)) if res else [()] * 5
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(cols, out)], schema=out)
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _MET)], schema=_MET)
 
-    return blobs.groupBy("bucket").applyInArrow(run, "unit long, n int, refs binary, marks binary, head binary")
+    return blobs.groupBy("bucket").applyInArrow(run, MET)
 
 
 def gather(table: pa.Table) -> tuple[pa.Table | None, np.ndarray, np.ndarray]:
-    """A unit's head, and its kept references and marks in order; to be used on the groups of meet() by unit."""
-    rows = table.to_pylist()
-    head = next((r["head"] for r in rows if r["head"] is not None), None)
-    full = [r for r in rows if r["n"]]
-    refs = np.concatenate([widen(r["refs"], r["n"]) for r in full]) if full else np.zeros(0, np.int64)
-    marks = np.concatenate([np.frombuffer(r["marks"], dtype=np.uint8) for r in full]) if full else np.zeros(0, np.uint8)
-    order = np.argsort(refs, kind="stable")
-    return (read_head(head) if head is not None else None), refs[order], marks[order]
+    """A unit's head, and its kept references and marks in order, with those that an entry stands for; to be used on the groups of meet() by unit.
+
+    A place that differs from the one standing for it has the mark 1 where places are given.
+    """
+    head, refs, marks, rest, stands = None, [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], None, None
+    for r in table.to_pylist():
+        if r["n"]:
+            refs.append(widen(r["refs"], r["n"]))
+            marks.append(np.frombuffer(r["marks"], dtype=np.uint8))
+        else:
+            head, n = read_head(r["head"]), int.from_bytes(r["marks"], "little")
+            rest, stands = widen(r["refs"][: len(r["refs"]) - 4 * n], n), np.frombuffer(r["refs"], np.uint32, n, len(r["refs"]) - 4 * n)
+    refs, marks = np.concatenate(refs), np.concatenate(marks)
+    order = np.argsort(refs)
+    refs, marks = refs[order], marks[order]
+    if rest is not None and len(rest) and len(refs):
+        by = (stands >> np.uint32(1)).astype(np.int64)
+        k = np.minimum(np.searchsorted(refs, by), len(refs) - 1)
+        some = np.flatnonzero(refs[k] == by)
+        mark = np.where(stands[some] & np.uint32(1), np.uint8(1), marks[k[some]])
+        refs, marks = np.concatenate([refs, rest[some]]), np.concatenate([marks, mark])
+        order = np.argsort(refs)
+        refs, marks = refs[order], marks[order]
+    return head, refs, marks

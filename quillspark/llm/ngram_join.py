@@ -6,18 +6,20 @@ join is exact.
 1. Every partner of q shares t*|q| of q's tokens, so a document of which fewer tokens occur
    anywhere else has none.  One packed exchange gives every token of every document its
    number of documents (up to 255), and most documents leave here.
-2. Documents with equal token sets are one set from here on, named by the lowest doc_id.
+2. Documents with equal token sets are one set from here on, with their number.
 3. Sets are partitioned into groups by their smallest token hash, which similar sets share
    with the probability of their similarity; groups over GROUP_SPLIT sets are split.
 4. Token-group matrix.  q and a partner share a token among the |q| - ceil(t*|q|) + 1
    rarest of q's and among as many of its own (prefix filter; any fixed order of tokens is
    right, and rarest first keeps passages that many documents share out of it).  The matrix's
    rows for those tokens join queries to groups; q goes to each group met and to its own.
+   Where more than GROUP_SPLIT queries meet a group, they are dealt to copies of it.
 5. In a group, each block of BLOCK_SETS sets has the union of its tokens.  A block is opened
    for q only if q's overlap with the union reaches what q's least partner there would need;
    then overlaps with its sets are counted exactly.
-6. similar_pairs() joins both ends of a pair of sets back to their documents, in blocks of at
-   most ID_BLOCK doc_ids a side, which are dealt to the tasks before they are multiplied.
+6. A group gives no pairs but, for each of its sets and queries, how many documents it found
+   them similar to, and one link to the lowest set they hang together with there; the links
+   make classes, and both are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -30,14 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .exchange import BLOB, Packer, buckets_for, cut, gather, meet, release
+from .exchange import BLOB, Packer, buckets_for, cut, gather, meet
 from .tables import corpus, load, unpack, with_texts
 
 #: Where a share c of the words changes, (1 - c)**3 of the 3-grams stay: 10 % leave a similarity of about 0.57.
 NGRAM, THRESHOLD = 3, 0.55
-GROUP_SPLIT, BLOCK_SETS, ID_BLOCK = 4096, 64, 512
-PAIRS = "doc_a long, doc_b long, jaccard double"
-_PAIRS = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+GROUP_SPLIT, BLOCK_SETS = 4096, 64
+SETS = "name long, size long, n int, first long, tokens binary, prefix binary"
+LINKS = "name long, root long, links long"
+_LINKS = pa.schema([("name", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 _FOUND = "doc_id long, n int, fp1 long, fp2 long, df binary"
 
 
@@ -75,13 +78,14 @@ def _emit(ngram: int, buckets: int):
     return run
 
 
-def _shared(keys: np.ndarray, unit: np.ndarray, refs: np.ndarray, heads: list) -> tuple[np.ndarray, np.ndarray]:
+def _shared(keys: np.ndarray, numbers: np.ndarray, at: None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that several documents have, with their number, up to 255."""
     order = np.argsort(keys)
     k = keys[order]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    count = np.zeros(len(k), dtype=np.int64)
-    count[order] = np.repeat(np.diff(np.append(first, len(k))), np.diff(np.append(first, len(k))))
+    total = np.add.reduceat(numbers[order].astype(np.int64), first)
+    count = np.empty(len(k), dtype=np.int64)
+    count[order] = np.repeat(total, np.diff(np.append(first, len(k))))
     keep = np.flatnonzero(count > 1)
     return keep, np.minimum(count[keep], 255).astype(np.uint8)
 
@@ -100,9 +104,9 @@ def _survivors(threshold: float):
     return run
 
 
-def _fetch(ngram: int, threshold: float, name: str = "doc_id"):
-    """Token sets of the wanted documents, which come with the fingerprint and the df of the set meant, and their prefixes without tokens of one document; name: the column that names a set."""
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.binary())])
+def _fetch(ngram: int, threshold: float):
+    """Token sets of the wanted documents, which come with the fingerprint, the size and the df of the set meant, and their prefixes without tokens of one document."""
+    out = pa.schema([("name", pa.int64()), ("size", pa.int64()), ("n", pa.int32()), ("first", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +119,7 @@ def _fetch(ngram: int, threshold: float, name: str = "doc_id"):
                     rare = np.argsort(df, kind="stable")[: n[i] - int(_least(threshold, n[i])) + 1]
                     rare = rare[df[rare] > 1]
                     if len(rare):
-                        rows.append((c.column(name)[i].as_py(), int(n[i]), int(own[:1].view(np.int64)[0]), own.tobytes(), own[rare].tobytes()))
+                        rows.append((c.column("fp1")[i].as_py(), c.column("size")[i].as_py(), int(n[i]), int(own[:1].view(np.int64)[0]), own.tobytes(), own[rare].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), out)], schema=out)
 
@@ -123,33 +127,41 @@ def _fetch(ngram: int, threshold: float, name: str = "doc_id"):
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = pa.schema([("doc_id", pa.int64()), ("gid", pa.int64()), ("token", pa.int64())])
+    out = pa.schema([("name", pa.int64()), ("gid", pa.int64()), ("token", pa.int64())])
     for b in batches:
         own = [np.frombuffer(x.as_py(), dtype=np.int64) for x in b.column("prefix")]
         if own:
             p = np.array([len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(), p)), pa.array(np.repeat(b.column("gid").to_numpy(), p)), pa.array(np.concatenate(own))], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("name").to_numpy(), p)), pa.array(np.repeat(b.column("gid").to_numpy(), p)), pa.array(np.concatenate(own))], schema=out)
+
+
+def _sets_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    names, at = np.unique(t["name"].to_numpy(), return_index=True)  # a repeated row gives its set again
+    t = t.take(pa.array(at))
+    return names, t["size"].to_numpy(), [np.frombuffer(x, dtype=K.U) for x in t["tokens"].to_pylist()]
 
 
 def _verify(threshold: float):
-    def sets_of(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-        order = np.argsort(t["doc_id"].to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
-        return t["doc_id"].to_numpy(), [np.frombuffer(x, dtype=K.U) for x in t["tokens"].to_pylist()]
+    """name, root and links of a group's sets and queries: the documents found similar to each, and the lowest set it hangs together with.
+
+    A pair is found by the side of the higher name, as the query, and only there.
+    """
 
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        ids, own = sets_of(members)
-        q_ids, q_sets = sets_of(queries)
-        a, b, j = [], [], []
+        ids, weight, own = _sets_of(members)
+        q_ids, q_weight, q_sets = _sets_of(queries)
+        whole = len(members) and members["part"][0].as_py() == 0  # the copy of a group that meets its own sets
+        names, links = np.concatenate([ids, q_ids]), np.zeros(len(ids) + len(q_ids), np.int64)
+        label = np.arange(len(names))
+        sides = [(len(ids), q_ids, q_weight, q_sets)] + [(0, ids, weight, own)] * bool(whole)
         for at in range(0, len(ids), BLOCK_SETS):
-            block, block_ids = own[at : at + BLOCK_SETS], ids[at : at + BLOCK_SETS]
+            block, block_ids, block_weight = own[at : at + BLOCK_SETS], ids[at : at + BLOCK_SETS], weight[at : at + BLOCK_SETS]
             sizes = np.array([len(x) for x in block])
             union = np.unique(np.concatenate(block))
             rows = np.zeros((len(block), len(union)), dtype=np.uint8)
             for r, x in enumerate(block):
                 rows[r, np.searchsorted(union, x)] = 1
-            for some_ids, some in ((q_ids, q_sets), (ids, own)):
-                # a pair is given by the side with the higher doc_id, as the query
+            for base, some_ids, some_weight, some in sides:
                 for i in range(int(np.searchsorted(some_ids, block_ids[0], side="right")), len(some)):
                     q = some[i]
                     n = len(q)
@@ -161,10 +173,17 @@ def _verify(threshold: float):
                     if len(here) < _least(threshold / (1 + threshold), n + sizes[fits].min()):
                         continue
                     both = rows[:, here].sum(axis=1, dtype=np.int64)
-                    sim = both / (n + sizes - both)
-                    for m in np.flatnonzero(fits & (sim >= threshold - 1e-12)):
-                        a.append(block_ids[m]), b.append(some_ids[i]), j.append(sim[m])
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], schema=_PAIRS)
+                    found = np.flatnonzero(fits & (both >= threshold * (n + sizes - both) - 1e-9))
+                    if len(found):
+                        links[at + found] += some_weight[i]
+                        links[base + i] += block_weight[found].sum()
+                        met = np.unique(label[np.append(at + found, base + i)])
+                        if len(met) > 1:
+                            label[np.isin(label, met)] = met[0]
+        some = np.flatnonzero(links)
+        low = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, names)
+        return pa.Table.from_arrays([pa.array(names[some]), pa.array(low[label[some]]), pa.array(links[some])], schema=_LINKS)
 
     return run
 
@@ -174,136 +193,96 @@ def _found(docs: DataFrame, ngram: int, threshold: float) -> DataFrame:
     return cut(meet(blobs, _shared).groupBy("unit").applyInArrow(_survivors(threshold), _FOUND))
 
 
-def _classes(docs: DataFrame, ngram: int, threshold: float) -> DataFrame:
-    """The documents of each token set that others may be similar to, in rising order: fp1, fp2, ids, df."""
-    found = _found(docs, ngram, threshold)
-    release(docs.sparkSession)
-    return found.groupBy("fp1", "fp2").agg(F.collect_set("doc_id").alias("ids"), F.first("df").alias("df")).withColumn("ids", F.array_sort("ids"))
-
-
-def _class_pairs(docs: DataFrame, classes: DataFrame, ngram: int, threshold: float, name: str) -> DataFrame:
-    """The pairs of similar classes; name: doc_id, by their lowest doc_ids, or fp1, which tells classes of one lowest doc_id apart."""
-    wanted = classes.select(F.col("ids")[0].alias("doc_id"), "fp1", "fp2", "df")
-    sets = cut(with_texts(docs, wanted).mapInArrow(_fetch(ngram, threshold, name), "doc_id long, n int, first long, tokens binary, prefix binary"))
-    release(docs.sparkSession)
+def _set_links(docs: DataFrame, classes: DataFrame, ngram: int, threshold: float) -> DataFrame:
+    """name, root and links, from every group that a set is in or goes to."""
+    wanted = classes.select("doc_id", "fp1", "fp2", "df", "size")
+    sets = cut(with_texts(docs, wanted).mapInArrow(_fetch(ngram, threshold), SETS))
     large = sets.groupBy("first").count().filter(F.col("count") > GROUP_SPLIT).withColumn("parts", F.ceil(F.col("count") / GROUP_SPLIT)).drop("count")
-    grouped = sets.join(large, "first", "left").select("doc_id", "n", F.when(F.col("parts").isNull(), F.col("first")).otherwise(F.xxhash64("first", F.pmod(F.xxhash64("doc_id"), "parts"))).alias("gid"), "tokens", "prefix")
-    prefix = grouped.select("doc_id", "gid", "prefix").mapInArrow(_prefixes, "doc_id long, gid long, token long")
+    grouped = sets.join(large, "first", "left").select("name", "size", F.when(F.col("parts").isNull(), F.col("first")).otherwise(F.xxhash64("first", F.pmod("name", "parts"))).alias("gid"), "tokens", "prefix")
+    prefix = grouped.select("name", "gid", "prefix").mapInArrow(_prefixes, "name long, gid long, token long")
     rows = prefix.select("token", F.col("gid").alias("group")).distinct()
-    met = prefix.join(rows, "token").filter("gid <> group").select("doc_id", "group").distinct()
-    queries = met.join(grouped.select("doc_id", "tokens"), "doc_id").select(F.col("group").alias("gid"), "doc_id", "tokens")
-    members = grouped.select("gid", "doc_id", "tokens")
-    return members.groupBy("gid").cogroup(queries.groupBy("gid")).applyInArrow(_verify(threshold), PAIRS)
-
+    met = cut(prefix.join(rows, "token").filter("gid <> group").select("name", "group").distinct())
+    many = met.groupBy(F.col("group").alias("gid")).count().filter(F.col("count") > GROUP_SPLIT).select("gid", F.ceil(F.col("count") / GROUP_SPLIT).alias("deals"))
+    asked = met.withColumnRenamed("group", "gid").join(many, "gid", "left").select("gid", "name", F.coalesce(F.pmod(F.xxhash64("name"), "deals"), F.lit(0)).alias("part"))
+    queries = asked.join(grouped.select("name", "size", "tokens"), "name").select(*[F.col(c).alias(c) for c in ("gid", "part", "name", "size", "tokens")])
+    members = grouped.join(many, "gid", "left").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)) - 1)).alias("part"), "name", "size", "tokens")
+    return cut(members.groupBy("gid", "part").cogroup(queries.groupBy("gid", "part")).applyInArrow(_verify(threshold), LINKS))
 
-def similar_sets(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of documents with similar word n-gram sets: doc_a < doc_b, jaccard >= threshold.
 
-    Documents with one and the same token set form a class.  Its lowest doc_id stands for it:
-    it is paired at 1.0 with each other member and, at their similarity, with the lowest
-    doc_ids of all similar classes; similar_pairs() gives the pairs of all members.
+def components(edges: DataFrame) -> DataFrame:
+    """name and the lowest name it is linked to through edges (a, b), for every name in an edge.
 
-    docs has doc_id and text; other columns are ignored.  A text of 1 to ngram - 1 words has
-    one token, all its words; null and empty texts have none and are in no pair.  Rows
-    without a doc_id are left out; rows that repeat a doc_id and its text count once, and
-    texts of one doc_id are not paired with each other.  An empty table gives no pairs.
+    Each round gives every name the lowest label among its neighbours' labels and its label's
+    label, until none changes; the paths it has to follow are short, as similar sets are
+    mostly similar to one another.
     """
-    docs = corpus(docs)
-    classes = _classes(docs, ngram, threshold)
-    star = classes.filter("size(ids) > 1").select(F.col("ids")[0].alias("doc_a"), F.explode(F.slice("ids", 2, F.size("ids") - 1)).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return star.unionByName(_class_pairs(docs, classes, ngram, threshold, "doc_id")).distinct()
-
+    edges = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = edges.groupBy(F.col("a").alias("name")).agg(F.min("b").alias("m")).select("name", F.least("name", "m").alias("root"))
+    while True:
+        labels = cut(labels)
+        near = edges.join(labels, edges["b"] == labels["name"]).groupBy("a").agg(F.min("root").alias("m"))
+        step = labels.join(near, labels["name"] == near["a"]).select("name", F.least("root", "m").alias("root"), F.col("root").alias("was"))
+        jump = labels.select(F.col("name").alias("r"), F.col("root").alias("up"))
+        step = cut(step.join(jump, step["root"] == jump["r"], "left").select("name", F.least("root", "up").alias("root"), "was"))
+        if step.filter("root <> was").isEmpty():
+            return step.select("name", "root")
+        labels = step.select("name", "root")
 
-def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of rows (a, b, jaccard, own): of each doc_id of list a with each of list b; own: both are of one class, whose doc_ids are met once."""
-    for batch in batches:
-        for a, b, j, own in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "jaccard", "own"))):
-            x, y = np.repeat(np.array(a, np.int64), len(b)), np.tile(np.array(b, np.int64), len(a))
-            keep = x < y if own else x != y
-            x, y = x[keep], y[keep]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), j))], schema=_PAIRS)
 
+def linked(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each document that is similar to another: doc_id, class_id, n_links.
 
-def similar_pairs(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """Every pair of documents with similar word n-gram sets, exact copies with all others too: doc_a < doc_b, jaccard >= threshold.
+    Two documents are linked if the Jaccard similarity of their word n-gram sets is threshold or
+    more; n_links is a document's number of links, exact copies and all others counted.
+    class_id is the lowest doc_id that it is linked to, directly or through others.
 
-    m exact copies give m * (m - 1) / 2 rows, and each of them a row with every document
-    similar to them.  Input is taken as in similar_sets(); a doc_id with several texts gives a
-    row for each of its token sets that is similar to one of the other doc_id.
+    docs has doc_id and text; other columns are ignored.  A text of 1 to ngram - 1 words has
+    one token, all its words; null and empty texts have none and are linked to nothing.  Rows
+    without a doc_id are left out; rows that repeat a doc_id and its text count once.  A doc_id
+    of several texts has one row, for all of them: its links are those of each, and texts of
+    its own that are similar count as links.  An empty table gives no rows.
     """
     docs = corpus(docs)
-    classes = cut(_classes(docs, ngram, threshold))
-    pairs = _class_pairs(docs, classes, ngram, threshold, "fp1").distinct()
-    blocks = classes.select("fp1", F.posexplode(F.expr(f"transform(sequence(0, (size(ids) - 1) div {ID_BLOCK}), k -> slice(ids, int(k * {ID_BLOCK} + 1), {ID_BLOCK}))")).alias("k", "ids"))
-    a, b = blocks.select(F.col("fp1").alias("doc_a"), F.col("k").alias("ka"), F.col("ids").alias("a")), blocks.select(F.col("fp1").alias("doc_b"), F.col("k").alias("kb"), F.col("ids").alias("b"))
-    near = pairs.join(a, "doc_a").join(b, "doc_b").select("a", "b", "jaccard", F.lit(False).alias("own"))
-    same = a.join(b, (F.col("doc_a") == F.col("doc_b")) & (F.col("ka") <= F.col("kb"))).filter("ka < kb or size(a) > 1").select("a", "b", F.lit(1.0).alias("jaccard"), F.lit(True).alias("own"))
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return near.unionByName(same).repartition(tasks, F.col("a")[0], F.col("b")[0]).mapInArrow(_multiply, PAIRS)
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """doc_id and the lowest doc_id it is linked to through pairs, for every doc_id in a pair.
-
-    Each round gives every document the lowest label among its neighbours' labels and its
-    label's label, until none changes; the paths it has to follow are short, as similar
-    documents are mostly similar to one another.
-    """
-    edges = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    edges = cut(edges.union(edges.select("b", "a")).distinct())
-    labels = edges.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("m")).select("doc_id", F.least("doc_id", "m").alias("root"))
-    while True:
-        labels = cut(labels)
-        near = edges.join(labels, edges["b"] == labels["doc_id"]).groupBy("a").agg(F.min("root").alias("m"))
-        step = labels.join(near, labels["doc_id"] == near["a"]).select("doc_id", F.least("root", "m").alias("root"), F.col("root").alias("was"))
-        jump = labels.select(F.col("doc_id").alias("r"), F.col("root").alias("up"))
-        step = cut(step.join(jump, step["root"] == jump["r"], "left").select("doc_id", F.least("root", "up").alias("root"), "was"))
-        if step.filter("root <> was").isEmpty():
-            return step.select("doc_id", "root")
-        labels = step.select("doc_id", "root")
+    found = _found(docs, ngram, threshold)
+    one = found.select("doc_id", "fp1", "fp2", "df").groupBy("fp1", "fp2", "doc_id").agg(F.first("df").alias("df"))
+    classes = cut(one.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("df").alias("df")))
+    parts = _set_links(docs, classes, ngram, threshold)
+    member = found.select("doc_id", "fp1").distinct()
+    lowest = member.groupBy("doc_id").agg(F.min("fp1").alias("a"), F.count("*").alias("n")).filter("n > 1")  # texts of one document hang together
+    edges = parts.filter("name <> root").select(F.col("root").alias("a"), F.col("name").alias("b")).union(member.join(lowest, "doc_id").filter("a <> fp1").select("a", F.col("fp1").alias("b")))
+    links = parts.groupBy("name").agg(F.sum("links").alias("links"))
+    sets = classes.select(F.col("fp1").alias("name"), "doc_id", "size").join(links, "name", "left").join(components(edges), "name", "left")
+    sets = sets.select("name", F.coalesce("root", "name").alias("root"), "doc_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    sets = cut(sets.filter("n_links > 0"))
+    roots = sets.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    known = sets.select("name", "root", "n_links").join(roots, "root").select(F.col("name").alias("fp1"), "class_id", "n_links")
+    return member.join(known, "fp1").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without near duplicates: of each group linked by similar pairs the lowest doc_id stays.
+    """docs without near duplicates: of each class of linked documents the lowest doc_id stays.
 
-    Rows that repeat a doc_id with the same text all stay or all go.
+    All columns stay.  Rows that repeat a doc_id with the same text all stay or all go; rows
+    without a doc_id, and null and empty texts, stay.  An empty table stays empty.
     """
-    links = components(similar_sets(docs, ngram, threshold))
-    gone = links.filter("doc_id <> root").select(F.col("doc_id").alias("__gone"))
-    release(docs.sparkSession)
+    gone = linked(docs, ngram, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_sets(load(spark, sf_dir, "documents"))
-
-
-def op5_ngram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(load(spark, sf_dir, "documents"))
+    return linked(load(spark, sf_dir, "documents"))
 
 
 SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{K.WORD_SQL}') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
-c AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS f FROM s GROUP BY doc_id),
-r AS (SELECT f, min(doc_id) AS rep, any_value(n) AS n FROM c GROUP BY f),
-x AS (SELECT s.doc_id, s.s, r.n FROM s JOIN r ON s.doc_id = r.rep),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) / (a.n + b.n - count(*))::DOUBLE AS jaccard
-      FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id AND b.n >= 0.54 * a.n AND a.n >= 0.54 * b.n
-      GROUP BY a.doc_id, b.doc_id, a.n, b.n)
-SELECT doc_a, doc_b, jaccard FROM p WHERE jaccard >= 0.55::DOUBLE
-UNION ALL SELECT r.rep, c.doc_id, 1.0::DOUBLE FROM c JOIN r USING (f) WHERE c.doc_id > r.rep
-"""
-ALL_PAIRS_SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{K.WORD_SQL}') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '{K.WORD_SQL}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 x AS (SELECT doc_id, s, n FROM s JOIN n USING (doc_id)),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) / (a.n + b.n - count(*))::DOUBLE AS jaccard
-      FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id
-      GROUP BY a.doc_id, b.doc_id, a.n, b.n)
-SELECT doc_a, doc_b, jaccard FROM p WHERE jaccard >= 0.55::DOUBLE
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*))::DOUBLE >= 0.55::DOUBLE),
+r(doc_id, root) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, r.root FROM r JOIN p ON r.doc_id = p.a),
+c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+l AS (SELECT a AS doc_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT doc_id, class_id, n_links FROM c JOIN l USING (doc_id)
 """
-#: op5_ngram_join names a class of exact copies by its lowest doc_id; op5_ngram_pairs has every pair.
-QUERIES = {"op5_ngram_join": (op5_ngram_join, SQL), "op5_ngram_pairs": (op5_ngram_pairs, ALL_PAIRS_SQL)}
+QUERIES = {"op5_ngram_join": (op5_ngram_join, SQL)}

@@ -7,8 +7,8 @@ no repeat is missed:
 
 1. index the non-overlapping blocks of all documents and probe them with every rolling
    window of BLOCK words (packed exchange by hash);
-2. around the hits, and only there, take the hashes of MIN_WORDS-word windows; those that
-   meet another of the same hash are repeats (second exchange);
+2. around the hits, and only there, take the hashes of MIN_WORDS-word windows with their
+   places; those that meet another of the same hash are repeats (second exchange);
 3. join consecutive repeated windows to maximal spans.
 
 Texts come back to their hits by a shuffle join on doc_id, packed; nothing is broadcast.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .exchange import BLOB, Packer, buckets_for, cut, gather, meet, read_head, release
+from .exchange import BLOB, Packer, buckets_for, cut, gather, meet, release
 from .tables import corpus, load, unpack, with_texts
 
 MIN_WORDS = 50
@@ -39,7 +39,7 @@ def _head(ids: pa.Array, windows: np.ndarray) -> pa.RecordBatch:
 
 def _probe(block: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets)
+        packer = Packer(buckets, flagged=True)
         for batch in batches:
             for c in K.chunks(batch):
                 g, off = K.grams(K.words(c.column("text")), block)
@@ -51,14 +51,14 @@ def _probe(block: int, buckets: int):
     return run
 
 
-def _anchored(keys: np.ndarray, unit: np.ndarray, refs: np.ndarray, heads: list) -> tuple[np.ndarray, np.ndarray]:
+def _anchored(keys: np.ndarray, numbers: np.ndarray, at: None) -> tuple[np.ndarray, np.ndarray]:
     """Windows that equal a block of another place, and the blocks they equal."""
     h = keys >> np.uint32(1)
     order = np.argsort(h)
     h = h[order]
-    first = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint32(1)))
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     count = np.diff(np.append(first, len(h)))
-    hit = (count > 1) & (np.add.reduceat((keys[order] & np.uint32(1)).astype(np.int64), first) > 0)
+    hit = (np.add.reduceat(numbers[order].astype(np.int64), first) > 1) & (np.maximum.reduceat(keys[order] & np.uint32(1), first) > 0)
     keep = np.sort(order[np.repeat(hit, count)])
     return keep, np.zeros(len(keep), np.uint8)
 
@@ -77,7 +77,7 @@ def _around(words: int, buckets: int):
     block = words // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets, head_each=True, wide=True)
+        packer = Packer(buckets, placed=True)
         for batch in batches:
             for c in (c for part in unpack(batch) for c in K.chunks(part)):
                 g, off = K.grams(K.words(c.column("text")), words)
@@ -91,27 +91,22 @@ def _around(words: int, buckets: int):
                     np.add.at(wanted, off[d] + lo, 1)
                     np.add.at(wanted, off[d] + hi, -1)
                 at = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
-                yield from packer.add(g[at], at, _head(c.column("doc_id"), n), len(g))
+                doc = np.searchsorted(off, at, side="right") - 1
+                places = np.column_stack([c.column("doc_id").to_numpy()[doc], at - off[doc]])
+                yield from packer.add(g[at], at, _head(c.column("doc_id"), n), len(g), places)
         yield from packer.flush()
 
     return run
 
 
-def _repeated(keys: np.ndarray, unit: np.ndarray, refs: np.ndarray, heads: list) -> tuple[np.ndarray, np.ndarray]:
+def _repeated(keys: np.ndarray, numbers: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Windows that occur at two places; a mark of 1 on all but the first place, the lowest (doc_id, word)."""
-    doc, pos = np.empty(len(refs), np.int64), np.empty(len(refs), np.int64)
-    bounds = np.searchsorted(unit, np.arange(len(heads) + 1))
-    for u, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])):
-        head = read_head(heads[u])
-        n = head["windows"].to_numpy()
-        ends = np.cumsum(n)
-        d = np.searchsorted(ends, refs[s:e], side="right")
-        doc[s:e], pos[s:e] = head["doc_id"].to_numpy()[d], refs[s:e] - (ends - n)[d]
+    doc, pos = at
     order = np.argsort(keys)
     k = keys[order]
     same = np.zeros(len(k) + 1, dtype=bool)
     same[1:-1] = k[1:] == k[:-1]
-    order = order[same[1:] | same[:-1]]  # the others meet none
+    order = order[same[1:] | same[:-1] | (numbers[order] > 1)]  # the others meet none
     if not len(order):
         return order, np.zeros(0, np.uint8)
     order = order[np.lexsort((pos[order], doc[order], keys[order]))]
@@ -119,10 +114,10 @@ def _repeated(keys: np.ndarray, unit: np.ndarray, refs: np.ndarray, heads: list)
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     last = np.append(first[1:], len(k)) - 1
     size = last - first + 1
-    other = (doc[first] != doc[last]) | (pos[first] != pos[last])
     copy = (doc != np.repeat(doc[first], size)) | (pos != np.repeat(pos[first], size))
-    at = np.repeat(other, size)
-    keep, mark = order[at], copy[at].astype(np.uint8)
+    other = (doc[first] != doc[last]) | (pos[first] != pos[last]) | (np.maximum.reduceat(numbers[order], first) > 1)
+    some = np.repeat(other, size)
+    keep, mark = order[some], copy[some].astype(np.uint8)
     back = np.argsort(keep)
     return keep[back], mark[back]
 
@@ -165,7 +160,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hits = cut(meet(blobs, _anchored).groupBy("unit").applyInArrow(_hits, "doc_id long, hits binary").groupBy("doc_id").agg(F.collect_list("hits").alias("hits")))
     release(docs.sparkSession)
     blobs = with_texts(docs, hits).mapInArrow(_around(min_words, buckets), BLOB)
-    return meet(blobs, _repeated, extra=True).groupBy("unit").applyInArrow(_spans(min_words), SPANS)
+    return meet(blobs, _repeated).groupBy("unit").applyInArrow(_spans(min_words), SPANS)
 
 
 def remove_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -72,9 +72,9 @@ def test_bpe(docs, empty):
 
 
 def test_ngram_join(docs, empty):
-    got = {(r["doc_a"], r["doc_b"]) for r in ngram_join.similar_sets(docs).collect()}
-    assert got == {(4, 5), (7, 8), (9, 10)}
-    assert ngram_join.similar_sets(empty).count() == 0
+    got = {(r["doc_id"], r["class_id"]) for r in ngram_join.linked(docs).collect()}
+    assert got == {(4, 4), (5, 4), (7, 7), (8, 7), (9, 9), (10, 9)}
+    assert ngram_join.linked(empty).count() == 0
     left = ngram_join.keep_one(docs)
     assert left.columns == docs.columns
     assert sorted(r[0] or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 6, 7, 9, 11]
