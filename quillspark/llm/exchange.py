@@ -17,7 +17,6 @@ holds for files and written tables.
 
 from __future__ import annotations
 
-import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -61,18 +60,30 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder and cut from their lineage."""
+    """The same rows, written to the shared checkpoint folder and cut from their lineage, whose shuffle files go at once."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
-
-    It does so when the driver's JVM collects its garbage, which may be hours away.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    since = df.sparkSession.sparkContext._jsc.sc().newShuffleId()
+    out = df.checkpoint()
+    _drop_shuffles(df, since)
+    return out
+
+
+def _drop_shuffles(df: DataFrame, since: int) -> None:
+    """Delete the files of the shuffles made for a frame that has been checkpointed; a later run of the frame itself would make them again."""
+    cleaner = df.sparkSession.sparkContext._jsc.sc().cleaner()
+    seen, todo = set(), [df._jdf.queryExecution().toRdd()] if cleaner.isDefined() else []
+    while todo:
+        rdd = todo.pop()
+        level = rdd.getStorageLevel()
+        if rdd.id() in seen or level.useMemory() or level.useDisk():
+            continue
+        seen.add(rdd.id())
+        needs = rdd.dependencies()
+        for i in range(needs.size()):
+            need = needs.apply(i)
+            if need.getClass().getSimpleName() == "ShuffleDependency" and need.shuffleId() > since:
+                cleaner.get().doCleanupShuffle(need.shuffleId(), False)
+            todo.append(need.rdd())
 
 
 def narrow(x: np.ndarray) -> bytes:
