@@ -2,12 +2,17 @@
 
 A conversation is a transcript: the lines of its rows, in turn order.  Each line is in one of
 six states: the first line, or a later one, of a turn by system, user or assistant.  A line is
-seen through its features: whether it opens a row, its speaker marker ("User:", "### Bot",
-"<|assistant|>" and the like, or the row's own role column, under any of the usual names),
-its length class, and whether it ends in a question mark or opens a list or code.  Transition
-and feature probabilities are counts over all rows of known role in the whole table, mixed with
-even ones by EVEN; a marker is right with 1 - MARKER_WRONG, so it outweighs what is unusual.  Viterbi gives the states; a run of lines from one first
-line to the next is a turn, rendered as <|role|>, a line end, its text and <|end|>.
+seen through its features: whether it opens a row, its length class, whether it ends in a
+question mark or opens a list or code, and its speaker marker.  A plain marker is a name and a
+colon ("User:", "A:", "**Bot:**"), which ordinary text has too: how often later lines of a turn
+have one is counted, so where that is usual a marker inside a text stays text.  A tagged marker
+("<|assistant|>", "### Bot", "[User]"), or the row's own role column, under any of the usual
+names, is right with 1 - MARKER_WRONG.  Transition, feature and marker probabilities are counts
+over all rows of known role in the whole table, mixed with even ones by EVEN; how turns begin
+inside a text, which such rows don't show, is set by OPENS and MARKED.  Viterbi gives the states; a run of
+lines from one first line to the next is a turn, rendered as <|role|>, a line end, its text and
+<|end|>.  A marker goes only where Viterbi begins a turn of its role, and blank lines inside a
+turn stay.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exchange import cut
 from .tables import load, pick
 
 ROLES = ["system", "user", "assistant"]
@@ -28,8 +34,12 @@ _NAMES = {"system": 0, "instruction": 0, "instructions": 0, "user": 1, "human":
 _MARK = regex.compile(r"^\s*(?:<\|(?:im_start\|>)?\s*(?P<a>\p{L}+)(?:\|>)?|\#{1,4}\s*(?P<b>\p{L}+)\s*:?\s*$|\[(?P<c>\p{L}+)\]:?|(?:\*\*)?(?P<d>\p{L}+)(?:\*\*)?\s*:(?:\*\*)?)\s*", regex.I)
 _END = regex.compile(r"\s*<\|(?:im_end|end|eot_id|endoftext)\|>\s*$", regex.I)
 MARKER_WRONG, EVEN = 1e-9, 1e-3
+#: The probability that a first line opens a row, that a later one does, and that a first line has its role's plain marker.
+OPENS, LATER_OPENS, MARKED = 0.95, 0.02, 0.5
+#: Plain markers of later lines: so many are supposed in so many lines before counting.
+PLAIN_BEFORE, LINES_BEFORE = 0.01, 1000
 BLOCK_LINES = 200_000
-SHAPES = 18
+SHAPES = 9
 SCHEMA = "conv_id long, n_turns long, roles array<string>, text string"
 _OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("roles", pa.list_(pa.string())), ("text", pa.string())])
 
@@ -38,40 +48,64 @@ def role_number(name: str | None) -> int:
     return _NAMES.get((name or "").strip().lower(), -1)
 
 
-def lines_of(text: str) -> list[tuple[int, str]]:
-    """(role of the line's marker or -1, text without marker) of the lines of a text that aren't blank."""
-    out = []
+@dataclass
+class Line:
+    """tag and plain: the role of a tagged or plain marker, or -1; raw: the line; bare: without its marker; gap: blank lines before it in its row; opens: it is its row's first."""
+
+    tag: int
+    plain: int
+    raw: str
+    bare: str
+    gap: int
+    opens: bool
+
+
+def lines_of(text: str) -> list[Line]:
+    """The lines of a text that aren't blank."""
+    out, gap = [], 0
     for line in regex.split(r"\r\n?|\n", text):
         if not line.strip():
+            gap += 1
             continue
-        role, m = -1, _MARK.match(line)
+        m, tag, plain = _MARK.match(line), -1, -1
         if m:
             role = role_number(m["a"] or m["b"] or m["c"] or m["d"])
-        if role >= 0:
-            line = line[m.end() :]
-        out.append((role, _END.sub("", line).rstrip()))
+            tag, plain = (-1, role) if m["d"] else (role, -1)
+        raw = _END.sub("", line).rstrip()
+        bare = _END.sub("", line[m.end() :]).rstrip() if tag >= 0 or plain >= 0 else raw
+        out.append(Line(tag, plain, raw, bare, gap if out else 0, not out))
+        gap = 0
     return out
 
 
-def shape(line: str, opens: bool) -> int:
-    """Number of a line's shape: length class, end and opening, below SHAPES."""
+def shape(line: str) -> int:
+    """Number of a line's shape: length class, and end or opening, below SHAPES."""
     size = min(2, len(line) // 120)
     kind = 2 if line.lstrip()[:3] in ("```", "1. ") or line.lstrip()[:2] in ("- ", "* ") else int(line.rstrip()[-1:] == "?")
-    return (size * 3 + kind) * 2 + int(opens)
+    return size * 3 + kind
 
 
 @dataclass
 class Model:
-    """Log probabilities of the first state, of state pairs, and of shapes by state; states 2r and 2r + 1 start and go on with a turn of role r."""
+    """Log probabilities of the first state, of state pairs, and of shapes by state, and the share of later lines with a plain marker; states 2r and 2r + 1 start and go on with a turn of role r."""
 
     start: np.ndarray
     move: np.ndarray
     shapes: np.ndarray
-
-    def emissions(self, shapes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        e = self.shapes[:, shapes].T.copy()
+    plain: float = PLAIN_BEFORE / LINES_BEFORE
+
+    def emissions(self, lines: list[Line], roles: list[int]) -> np.ndarray:
+        """roles: each line's role by its row or -1; a tagged marker overrules it."""
+        e = self.shapes[:, [shape(x.bare) for x in lines]].T.copy()
+        opens = np.array([x.opens for x in lines])
+        e[:, ::2] += np.log(np.where(opens, OPENS, 1 - OPENS))[:, None]
+        e[:, 1::2] += np.log(np.where(opens, LATER_OPENS, 1 - LATER_OPENS))[:, None]
+        plain = np.array([x.plain for x in lines])
+        e[:, ::2] += np.log(np.where(plain[:, None] < 0, 1 - MARKED, np.where(plain[:, None] == np.arange(3), MARKED, MARKED * self.plain / 3)))
+        e[:, 1::2] += np.log(np.where(plain < 0, 1 - self.plain, self.plain / 3))[:, None]
+        told = np.array([x.tag if x.tag >= 0 else r for x, r in zip(lines, roles)])
         for r in range(3):
-            m = marks == r
+            m = told == r
             e[m] += np.log(MARKER_WRONG / 5)
             e[m, 2 * r] += np.log1p(-MARKER_WRONG) - np.log(MARKER_WRONG / 5)
         return e
@@ -106,24 +140,26 @@ def viterbi(e: np.ndarray, off: np.ndarray, model: Model) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    start, move, shapes = np.zeros(6), np.zeros((6, 6)), np.zeros((6, SHAPES))
+    start, move, shapes, later = np.zeros(6), np.zeros((6, 6)), np.zeros((6, SHAPES)), np.zeros(2)
     for b in batches:
         for turns in b.column("turns").to_pylist():
             before = -1
             for t in turns:
                 r = role_number(t["role"])
-                for j, (_, line) in enumerate(lines_of(t["text"] or "")):
+                for x in lines_of(t["text"] or ""):
                     if r < 0:
                         before = -1
                         continue
-                    s = 2 * r + (j > 0)
-                    shapes[s, shape(line, not j)] += 1
+                    s = 2 * r + (not x.opens)
+                    shapes[s, shape(x.bare)] += 1
+                    if not x.opens:
+                        later += (1, x.plain >= 0)
                     if before >= 0:
                         move[before, s] += 1
-                    elif t is turns[0] and not j:
+                    elif t is turns[0] and x.opens:
                         start[s] += 1
                     before = s
-    flat = np.concatenate([start, move.ravel(), shapes.ravel()]).astype(np.int64)
+    flat = np.concatenate([start, move.ravel(), shapes.ravel(), later]).astype(np.int64)
     some = np.flatnonzero(flat)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(flat[some])], names=["k", "n"])
 
@@ -134,59 +170,64 @@ def _conversations(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> Model:
-    """The model of a table, from counts over all its rows of known role."""
-    got = _conversations(rows).mapInArrow(_counts, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros(6 + 36 + 6 * SHAPES)
+    """The model of a table, from counts over all its rows of known role; the usual one where it has none."""
+    return _fit(_conversations(rows))
+
+
+def _fit(conversations: DataFrame) -> Model:
+    got = conversations.mapInArrow(_counts, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    flat = np.zeros(6 + 36 + 6 * SHAPES + 2)
     for r in got:
         flat[r["k"]] = r["n"]
 
-    start, move, shapes = flat[:6], flat[6:42].reshape(6, 6), flat[42:].reshape(6, SHAPES)
+    start, move, shapes, later = flat[:6], flat[6:42].reshape(6, 6), flat[42:-2].reshape(6, SHAPES), flat[-2:]
     # one count of what is usual in each distribution, which decides where the table has none
     start += np.array([0.3, 0, 0.6, 0, 0.1, 0])
     for r in range(3):
         for state in (2 * r, 2 * r + 1):
             move[state, 2 * r + 1] += 0.6
             move[state, 2 if r != 1 else 4] += 0.4
-        shapes[2 * r, 1::2] += 2 / SHAPES
-        shapes[2 * r + 1, ::2] += 2 / SHAPES
+            shapes[state] += 1 / SHAPES
 
     def log(x: np.ndarray) -> np.ndarray:
         return np.log((1 - EVEN) * x / x.sum(axis=-1, keepdims=True) + EVEN / x.shape[-1])
 
-    return Model(log(start), log(move), log(shapes))
+    return Model(log(start), log(move), log(shapes), float((later[1] + PLAIN_BEFORE) / (later[0] + LINES_BEFORE)))
+
+
+def turns_of(lines: list[Line], states: np.ndarray) -> list[tuple[int, str]]:
+    """(role, text) of each turn: a state of a first line, or of another role, begins one."""
+    out: list[tuple[int, list[str]]] = []
+    for s, x in zip(states.tolist(), lines):
+        r, new = s // 2, s % 2 == 0 or not out or out[-1][0] != s // 2
+        if new:
+            out.append((r, []))
+        else:
+            out[-1][1].extend([""] * x.gap)
+        out[-1][1].append(x.bare if new and r == (x.tag if x.tag >= 0 else x.plain) else x.raw)
+    return [(r, "\n".join(t).strip("\n")) for r, t in out]
 
 
 def _render(model: Model):
-    def solve(group: list[tuple]) -> pa.RecordBatch:
-        ids, chains = [g[0] for g in group], [g[1] for g in group]
-        off = np.cumsum([0, *map(len, chains)])
-        flat = [x for c in chains for x in c]
-        shapes = np.array([s for _, s, _ in flat], dtype=np.int64)
-        marks = np.array([m for m, _, _ in flat], dtype=np.int64)
-        states = viterbi(model.emissions(shapes, marks), off, model) if flat else np.zeros(0, np.int8)
-        roles, texts = [], []
-        for i, c in enumerate(chains):
-            turns: list[tuple[int, list[str]]] = []
-            for s, (_, _, line) in zip(states[off[i] : off[i + 1]], c):
-                r = int(s) // 2
-                if s % 2 == 0 or not turns or turns[-1][0] != r:
-                    turns.append((r, []))
-                turns[-1][1].append(line)
-            roles.append([ROLES[r] for r, _ in turns])
-            texts.append("\n".join(f"<|{ROLES[r]}|>\n" + "\n".join(t).strip("\n") + "\n<|end|>" for r, t in turns))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) for r in roles], pa.int64()), pa.array(roles, pa.list_(pa.string())), pa.array(texts, pa.string())], schema=_OUT)
+    def solve(group: list[tuple[int, list[Line], list[int]]]) -> pa.RecordBatch:
+        off = np.cumsum([0, *(len(g[1]) for g in group)])
+        flat = [x for g in group for x in g[1]]
+        states = viterbi(model.emissions(flat, [r for g in group for r in g[2]]), off, model) if flat else np.zeros(0, np.int8)
+        turns = [turns_of(g[1], states[off[i] : off[i + 1]]) for i, g in enumerate(group)]
+        texts = ["\n".join(f"<|{ROLES[r]}|>\n{t}\n<|end|>" for r, t in c) for c in turns]
+        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([len(c) for c in turns], pa.int64()), pa.array([[ROLES[r] for r, _ in c] for c in turns], pa.list_(pa.string())), pa.array(texts, pa.string())], schema=_OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = [], 0
         for b in batches:
             for cid, turns in zip(b.column("conv_id").to_pylist(), b.column("turns").to_pylist()):
-                chain = []
+                lines, roles = [], []
                 for t in turns:
-                    for j, (mark, line) in enumerate(lines_of(t["text"] or "")):
-                        known = role_number(t["role"]) if not j and mark < 0 else mark
-                        chain.append((known, shape(line, not j), line))
-                group.append((cid, chain))
-                size += len(chain)
+                    own = lines_of(t["text"] or "")
+                    lines += own
+                    roles += [role_number(t["role"]) if x.opens else -1 for x in own]
+                group.append((cid, lines, roles))
+                size += len(lines)
                 if size >= BLOCK_LINES:
                     yield solve(group)
                     group, size = [], 0
@@ -201,12 +242,18 @@ def format_chats(rows: DataFrame, model: Model | None = None) -> DataFrame:
 
     rows has conv_id, turn, role and text; other columns are ignored.  Rows are taken in order
     of turn (null last), role and text; a repeated row is a repeated turn.  A null or unknown
-    role is recovered from the lines; markers inside a text split it into turns and are taken
-    out, and a marker overrules its row's role.  Blank lines are left out, and null or empty
-    texts add no turn; a conversation without any line has no turn and an empty text.  Rows
-    without a conv_id are left out, and an empty table gives no rows.
+    role is recovered from the lines; markers inside a text that begin a turn split it and are
+    taken out.  A tagged marker overrules its row's role, and a row's role a plain marker.
+    Blank lines inside a turn stay, those around it go; null or empty texts add no turn, and a
+    conversation without any line has no turn and an empty text.  Rows without a conv_id are
+    left out, and an empty table gives no rows.  A conversation is one row of the result, so
+    it has to fit into a task.
     """
-    return _conversations(rows).mapInArrow(_render(model or fit(rows)), SCHEMA)
+    conversations = _conversations(rows)
+    if model is None:
+        conversations = cut(conversations)
+        model = _fit(conversations)
+    return conversations.mapInArrow(_render(model), SCHEMA)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

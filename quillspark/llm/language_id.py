@@ -2,10 +2,12 @@
 
 Each word of a sentence gets a language, so code-switched text is labelled word by word.  A
 word's score for a language is the sum of learned weights of its affixes (1 to 3 bytes),
-its 2- and 3-grams of bytes with word edges, and its lexicon entries (the languages whose
-training text has the word); weights of n-grams and affixes live in a hashed table of fixed
-size.  Learned transitions tie neighbouring words together; forward-backward gives each
-word's posterior.  A sentence ends at . ! ? or a line end, and after MAX_SENTENCE words.
+its 2- and 3-grams of bytes with word edges, and its lexicon entry (the languages whose
+training text has the word, each with its share of one, times a matrix of weights); weights of
+n-grams and affixes live in a hashed table of fixed size.  Learned transitions tie neighbouring
+words together; forward-backward gives each word's posterior.  A sentence ends at . ! ? or a
+line end, however long it is: the steps of BLOCK words are multiplied to one matrix each, all
+blocks at once, so a long chain takes few steps.
 
 Besides the languages of the training labels there is one label, OTHER, for words of no
 language, learned from random strings.  The chain is fitted by Adagrad on sentences cut from
@@ -30,7 +32,7 @@ from .tables import corpus, load, pick
 OTHER, UNKNOWN = "zxx", "und"
 TABLE = 1 << 16
 TRAIN_DOCS, TRAIN_CHARS = 1200, 20_000
-MAX_SENTENCE = 64
+BLOCK = 128
 MOST_OTHER = 0.5
 SCHEMA = "doc_id long, language string, confidence double, n_words long, n_switches long, kept boolean, spans array<struct<start_word:int,end_word:int,language:string>>"
 _SPAN = pa.struct([("start_word", pa.int32()), ("end_word", pa.int32()), ("language", pa.string())])
@@ -79,10 +81,12 @@ def _tail(text: np.ndarray, off: np.ndarray, n: np.ndarray, j: int) -> np.ndarra
 
 @dataclass
 class Model:
+    """lexicon: hashes of known words in rising order; shares: how much each counts for each language."""
+
     labels: list[str]
     weights: np.ndarray
     lexicon: np.ndarray
-    lexicon_bits: np.ndarray
+    shares: np.ndarray
     lexicon_weights: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
@@ -91,11 +95,14 @@ class Model:
         if not len(hashes):
             return np.zeros((0, len(self.labels)), np.float32)
         f, off = features(data, start, end)
-        return np.add.reduceat(self.weights[f], off[:-1], axis=0) + self.lexicon_weights[self.bits(hashes)]
+        return np.add.reduceat(self.weights[f], off[:-1], axis=0) + self.known(hashes) @ self.lexicon_weights
 
-    def bits(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.lexicon, hashes), max(0, len(self.lexicon) - 1))
-        return np.where(self.lexicon[at] == hashes, self.lexicon_bits[at], 0) if len(self.lexicon) else np.zeros(len(hashes), np.int64)
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's row of shares; zeros where it isn't known."""
+        if not len(self.lexicon):
+            return np.zeros((len(hashes), self.shares.shape[1]), np.float32)
+        at = np.minimum(np.searchsorted(self.lexicon, hashes), len(self.lexicon) - 1)
+        return np.where((self.lexicon[at] == hashes)[:, None], self.shares[at], 0)
 
 
 def sentences(w: K.Words) -> np.ndarray:
@@ -107,28 +114,67 @@ def sentences(w: K.Words) -> np.ndarray:
     new = np.zeros(n, dtype=bool)
     new[1:] = stops[w.start[1:]] > stops[w.end[:-1]]
     new[w.offsets[:-1][w.offsets[:-1] < n]] = True
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, n))
-    parts = (size + MAX_SENTENCE - 1) // MAX_SENTENCE
-    cuts = np.repeat(first, parts) + MAX_SENTENCE * K.ranges(np.zeros(len(parts), np.int64), parts)
-    return np.append(cuts, n)
+    return np.append(np.flatnonzero(new), n)
+
+
+def _blocks(p: np.ndarray, t: np.ndarray, off: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts chains into blocks of at most BLOCK words: their offsets, each block's scores before its first word, and those from behind its last one, both up to a factor.
+
+    A block's words and transitions make one matrix; the matrices are multiplied out for all
+    blocks at once, and only vectors go along a chain.
+    """
+    n = np.diff(off)
+    count = -(-n // BLOCK)
+    k, of = K.ranges(np.zeros(len(n), np.int64), count), np.repeat(count, count)
+    cuts = np.append(np.repeat(off[:-1], count) + BLOCK * k, off[-1])
+    into, behind = np.tile(s.astype(p.dtype), (len(k), 1)), np.ones((len(k), p.shape[1]), p.dtype)
+    long = np.flatnonzero(of > 1)
+    if not len(long):
+        return cuts, into, behind
+    first, size = cuts[long], np.diff(cuts)[long]
+    through = np.tile(np.eye(p.shape[1], dtype=p.dtype), (len(long), 1, 1))
+    last = np.ones((len(long), p.shape[1]), p.dtype)
+    for i in range(int(size.max())):
+        m = np.flatnonzero(size > i)
+        x = through[m] * p[first[m] + i][:, None, :]
+        x /= x.max(axis=(1, 2), keepdims=True)
+        ends = size[m] == i + 1
+        last[m[ends]] = x[ends].sum(axis=2)
+        through[m] = x @ t
+    at = np.full(len(k), -1)
+    at[long] = np.arange(len(long))
+    scaled = lambda x: x / x.max(axis=1, keepdims=True)
+    for i in range(1, int(count.max())):
+        b = np.flatnonzero(k == i)
+        into[b] = scaled((into[b - 1][:, None, :] @ through[at[b - 1]])[:, 0])
+    ahead = np.empty_like(behind)  # of a block's first word, with its own score
+    for i in range(int(count.max()) - 1, 0, -1):
+        b = np.flatnonzero(k == i)
+        ends = of[b] == i + 1
+        ahead[b[ends]] = last[at[b[ends]]]
+        rest = b[~ends]
+        ahead[rest] = (through[at[rest]] @ ahead[rest + 1][:, :, None])[:, :, 0]
+        ahead[b] = scaled(ahead[b])
+        behind[b - 1] = scaled(ahead[b] @ t.T)
+    return cuts, into, behind
 
 
 def forward_backward(e: np.ndarray, off: np.ndarray, transitions: np.ndarray, start: np.ndarray, pairs: bool = False):
     """Posteriors of chains e[off[i]:off[i + 1]], all chains at once; with pairs, also the expected transitions and the log likelihood's normalizer."""
+    top = e.max(axis=1, keepdims=True) if len(e) else e
+    p, t, s = np.exp(e - top), np.exp(transitions), np.exp(start)
+    off, into, behind = (off, np.tile(s.astype(p.dtype), (len(off) - 1, 1)), np.ones((len(off) - 1, p.shape[1]), p.dtype)) if pairs else _blocks(p, t, off, s)
     n = np.diff(off)
     order = np.argsort(-n, kind="stable")
-    first, length = off[:-1][order], n[order]
+    first, length, into, behind = off[:-1][order], n[order], into[order], behind[order]
     active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
-    top = e.max(axis=1, keepdims=True) if len(e) else e
-    p, t, s = np.exp(e - top), np.exp(transitions), np.exp(start)
     alpha, beta, scale = np.empty_like(p), np.empty_like(p), np.ones((len(p), 1), p.dtype)
     for i, m in enumerate(active):
         at = first[:m] + i
-        a = p[at] * (s if not i else alpha[at - 1] @ t)
+        a = p[at] * (into[:m] if not i else alpha[at - 1] @ t)
         z = a.sum(axis=1, keepdims=True)
         alpha[at], scale[at] = a / z, z
-    beta[first + length - 1] = 1
+    beta[first + length - 1] = behind
     for i in range(len(active) - 1, 0, -1):
         at = first[: active[i]] + i
         beta[at - 1] = ((p[at] * beta[at]) @ t.T) / scale[at]
@@ -154,8 +200,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4) -> M
     seen = np.zeros((len(uniq), len(labels)), dtype=np.int64)
     np.add.at(seen, (inverse, y_word), 1)
     strong = (seen[:, :-1].sum(axis=1) >= 5) & (seen[:, -1] == 0)
-    bits = ((seen[:, :-1] * 10 >= seen[:, :-1].sum(axis=1, keepdims=True)) << np.arange(len(labels) - 1)).sum(axis=1)
-    model = Model(labels, np.zeros((TABLE, len(labels)), np.float32), uniq[strong], bits[strong], np.zeros((1 << (len(labels) - 1), len(labels)), np.float32), np.zeros((len(labels),) * 2, np.float32), np.zeros(len(labels), np.float32))
+    has = (seen[strong, :-1] * 10 >= seen[strong, :-1].sum(axis=1, keepdims=True)).astype(np.float32)
+    model = Model(labels, np.zeros((TABLE, len(labels)), np.float32), uniq[strong], has / has.sum(axis=1, keepdims=True), np.zeros((len(labels) - 1, len(labels)), np.float32), np.zeros((len(labels),) * 2, np.float32), np.zeros(len(labels), np.float32))
     # chains: runs of a document, half of them spliced with a run of any other document
     counts, base = w.counts, w.offsets[:-1]
     docs = np.flatnonzero(counts > 0)
@@ -175,31 +221,34 @@ def fit(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4) -> M
         off = np.concatenate([[0], np.cumsum([len(c) for c in chains])])
         u, back = np.unique(inverse[token], return_inverse=True)
         f, foff = features(w.data, w.start[at[u]], w.end[at[u]])
-        lex = model.bits(uniq[u])
-        e = (np.add.reduceat(model.weights[f], foff[:-1], axis=0) + model.lexicon_weights[lex])[back]
+        lex = model.known(uniq[u])
+        e = (np.add.reduceat(model.weights[f], foff[:-1], axis=0) + lex @ model.lexicon_weights)[back]
         post, expected, _ = forward_backward(e, off, model.transitions, model.start, pairs=True)
         y = y_word[token]
         d = post.copy()
         d[np.arange(len(y)), y] -= 1
         du = np.zeros((len(u), len(labels)), np.float32)
         np.add.at(du, back, d)
-        grad = [np.zeros_like(model.weights), np.zeros_like(model.lexicon_weights), expected.astype(np.float32), d[off[:-1]].sum(axis=0)]
-        rows = np.repeat(du, np.diff(foff), axis=0)
-        for c in range(len(labels)):
-            grad[0][:, c] = np.bincount(f, weights=rows[:, c], minlength=TABLE)
-        np.add.at(grad[1], lex, du)
+        slots, of = np.unique(f, return_inverse=True)
+        by = np.argsort(of, kind="stable")
+        rows = np.repeat(du, np.diff(foff), axis=0)[by]
+        grad = [np.add.reduceat(rows, np.searchsorted(of[by], np.arange(len(slots))), axis=0), lex.T @ du, expected.astype(np.float32), d[off[:-1]].sum(axis=0)]
         inside = np.ones(len(y), dtype=bool)
         inside[off[:-1]] = False
         np.subtract.at(grad[2], (y[np.flatnonzero(inside) - 1], y[inside]), 1)
-        for x, h, dx in zip((model.weights, model.lexicon_weights, model.transitions, model.start), g, grad):
-            dx /= size
-            h += dx * dx
-            x -= rate * dx / np.sqrt(h)
+        for x, h, dx, at_ in zip((model.weights, model.lexicon_weights, model.transitions, model.start), g, grad, (slots, ..., ..., ...)):
+            dx = dx / size
+            h[at_] += dx * dx
+            x[at_] -= rate * dx / np.sqrt(h[at_])
     return model
 
 
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Model:
-    """A model from the max_docs labelled documents (text and lang, at most max_chars long) of the lowest hashes of their doc_id."""
+    """A model from the max_docs labelled documents (text and lang, at most max_chars long) of the lowest hashes of their doc_id.
+
+    Rows with a null doc_id, text or lang, or a blank text, are left out; repeated rows count
+    again.  Without any row left the model knows OTHER alone, and no document is kept.
+    """
     own = pick(docs, doc_id="long", text="string", lang="string").dropna().filter((F.length("text") <= max_chars) & (F.trim("text") != ""))
     own = own.withColumn("h", F.xxhash64("doc_id"))
     last = own.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]  # hashes alone travel, not texts
@@ -263,7 +312,8 @@ def identify(docs: DataFrame, model: Model, most_other: float = MOST_OTHER) -> D
 
     language is the one with the greatest mean posterior over the words without digits,
     confidence that mean.  Where OTHER's mean is most_other or more, or there is no such word
-    (null or empty text, numbers only), the language is "und" and kept is false; text switching between languages is kept.  spans lists the runs of words of one label, from which n_switches
+    (null or empty text, numbers only), the language is "und" and kept is false; text switching
+    between languages is kept.  spans lists the runs of words of one label, from which n_switches
     counts the changes.  Ties go to the alphabetically first language.  docs has doc_id and
     text; other columns are ignored; rows without a doc_id are left out, repeated rows give
     repeated results, and an empty table gives none.
@@ -273,7 +323,11 @@ def identify(docs: DataFrame, model: Model, most_other: float = MOST_OTHER) -> D
 
 
 def drop_unknown(docs: DataFrame, model: Model, most_other: float = MOST_OTHER) -> DataFrame:
-    """The documents with an identified language, with all their columns, in place: no shuffle."""
+    """The documents with an identified language, with all their columns, in place: no shuffle.
+
+    Each row is judged by its own text, also where its doc_id is null or repeated; null, empty
+    and blank texts and those of no language go, and an empty table stays empty.
+    """
     schema, shared = docs.schema, docs.sparkSession.sparkContext.broadcast(model)
     text = schema.fieldNames().index("text")
 

@@ -45,7 +45,9 @@ def test_words_of_mixed_text(documents):
     assert total > 500 and right > 0.9 * total
 
 
-def test_forward_backward_against_all_paths():
+@pytest.mark.parametrize("block", [128, 3, 2, 1])
+def test_forward_backward_against_all_paths(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
     rng = np.random.default_rng(1)
     e, t, s = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
     off = np.array([0, 4, 5, 9])
@@ -60,6 +62,15 @@ def test_forward_backward_against_all_paths():
         assert np.allclose(post[a:b], want / want.sum(axis=1, keepdims=True))
 
 
+def test_a_hundred_languages_and_a_long_sentence():
+    texts = [f"w{i}a w{i}b w{i}c " * 5 for i in range(100)] * 2
+    model = language_id.fit(texts, [f"l{i:02}" for i in range(100)] * 2, epochs=1)
+    assert len(model.labels) == 101 and model.lexicon_weights.shape == (100, 101)
+    words = K.words(pa.array([" ".join(texts[7:8] * 300)]))
+    post = language_id.label_words(model, words)
+    assert post.shape == (4500, 101) and np.allclose(post.sum(axis=1), 1, atol=1e-4) and list(language_id.sentences(words)) == [0, 4500]
+
+
 @pytest.fixture(scope="module")
 def known_tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
@@ -162,6 +173,18 @@ def test_hidden_roles_come_back(spark):
     assert all(r["roles"] == true[r["conv_id"]] for r in shown)
 
 
+def test_blank_lines_and_markers_in_text(spark):
+    code = "Here:\n\n```\nx = 1\n\ny = 2\n```\n\nAnswer: 42 is right"
+    usual = [(i, t, r, f"say {i}\nAnswer: {i}\n\nmore" if t else "what?") for i in range(30) for t, r in enumerate(("user", "assistant"))]
+    rows = [*usual, (100, 0, "user", "how?"), (100, 1, "assistant", code), (101, 0, "assistant", "User: hi"), (102, 0, "assistant", "<|user|> hi"), (103, 0, None, "### User:\nhi\n\nthere\n### Bot\nyes")]
+    by = {r["conv_id"]: r["text"] for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert by[100] == f"<|user|>\nhow?\n<|end|>\n<|assistant|>\n{code}\n<|end|>"
+    assert by[101] == "<|assistant|>\nUser: hi\n<|end|>" and by[102] == "<|user|>\nhi\n<|end|>"
+    assert by[103] == "<|user|>\nhi\n\nthere\n<|end|>\n<|assistant|>\nyes\n<|end|>"
+    alone = chat_format.format_chats(spark.createDataFrame([(1, 0, None, "Q: why?\nA: so\nand so")], "conv_id long, turn long, role string, text string")).first()
+    assert alone["text"] == "<|user|>\nwhy?\n<|end|>\n<|assistant|>\nso\nand so\n<|end|>"
+
+
 def test_role_viterbi_against_all_paths():
     rng = np.random.default_rng(2)
     model = chat_format.Model(rng.normal(size=6), rng.normal(size=(6, 6)), rng.normal(size=(6, chat_format.SHAPES)))
