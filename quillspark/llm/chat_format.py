@@ -8,8 +8,8 @@ colon ("User:", "A:", "**Bot:**"), which ordinary text has too: how often later
 have one is counted, so where that is usual a marker inside a text stays text.  A tagged marker
 ("<|assistant|>", "### Bot", "[User]"), or the row's own role column, under any of the usual
 names, is right with 1 - MARKER_WRONG.  Transition, feature and marker probabilities are counts
-over all rows of known role in the whole table, mixed with even ones by EVEN; how turns begin
-inside a text, which such rows don't show, is set by OPENS and MARKED.  Viterbi gives the states; a run of
+over all rows of known role in the whole table, mixed with even ones by EVEN and MOVES_EVEN; how
+turns begin inside a text, which such rows don't show, is set by OPENS and MARKED.  Viterbi gives the states; a run of
 lines from one first line to the next is a turn, rendered as <|role|>, a line end, its text and
 <|end|>.  A marker goes only where Viterbi begins a turn of its role, and blank lines inside a
 turn stay.
@@ -33,11 +33,11 @@ ROLES = ["system", "user", "assistant"]
 _NAMES = {"system": 0, "instruction": 0, "instructions": 0, "user": 1, "human": 1, "prompter": 1, "customer": 1, "q": 1, "question": 1, "assistant": 2, "bot": 2, "ai": 2, "gpt": 2, "model": 2, "chatbot": 2, "agent": 2, "a": 2, "answer": 2}
 _MARK = regex.compile(r"^\s*(?:<\|(?:im_start\|>)?\s*(?P<a>\p{L}+)(?:\|>)?|\#{1,4}\s*(?P<b>\p{L}+)\s*:?\s*$|\[(?P<c>\p{L}+)\]:?|(?:\*\*)?(?P<d>\p{L}+)(?:\*\*)?\s*:(?:\*\*)?)\s*", regex.I)
 _END = regex.compile(r"\s*<\|(?:im_end|end|eot_id|endoftext)\|>\s*$", regex.I)
-MARKER_WRONG, EVEN = 1e-9, 1e-3
+MARKER_WRONG, EVEN, MOVES_EVEN = 1e-9, 1e-3, 2e-2
 #: The probability that a first line opens a row, that a later one does, and that a first line has its role's plain marker.
 OPENS, LATER_OPENS, MARKED = 0.95, 0.02, 0.5
 #: Plain markers of later lines: so many are supposed in so many lines before counting.
-PLAIN_BEFORE, LINES_BEFORE = 0.01, 1000
+PLAIN_BEFORE, LINES_BEFORE = 0.001, 1000
 BLOCK_LINES = 200_000
 SHAPES = 9
 SCHEMA = "conv_id long, n_turns long, roles array<string>, text string"
@@ -61,8 +61,9 @@ class Line:
 
 
 def lines_of(text: str) -> list[Line]:
-    """The lines of a text that aren't blank."""
-    out, gap = [], 0
+    """The lines of a text that aren't blank; a marker alone on its line belongs to the next one, unless that has its own."""
+    out: list[Line] = []
+    gap, header = 0, False
     for line in regex.split(r"\r\n?|\n", text):
         if not line.strip():
             gap += 1
@@ -72,9 +73,13 @@ def lines_of(text: str) -> list[Line]:
             role = role_number(m["a"] or m["b"] or m["c"] or m["d"])
             tag, plain = (-1, role) if m["d"] else (role, -1)
         raw = _END.sub("", line).rstrip()
-        bare = _END.sub("", line[m.end() :]).rstrip() if tag >= 0 or plain >= 0 else raw
-        out.append(Line(tag, plain, raw, bare, gap if out else 0, not out))
-        gap = 0
+        marked = tag >= 0 or plain >= 0
+        bare = _END.sub("", line[m.end() :]).rstrip() if marked else raw
+        if header and not marked:
+            out[-1].raw, out[-1].bare = out[-1].raw + "\n" * (gap + 1) + raw, raw
+        else:
+            out.append(Line(tag, plain, raw, bare, gap if out else 0, not out))
+        gap, header = 0, marked and not bare
     return out
 
 
@@ -189,10 +194,10 @@ def _fit(conversations: DataFrame) -> Model:
             move[state, 2 if r != 1 else 4] += 0.4
             shapes[state] += 1 / SHAPES
 
-    def log(x: np.ndarray) -> np.ndarray:
-        return np.log((1 - EVEN) * x / x.sum(axis=-1, keepdims=True) + EVEN / x.shape[-1])
+    def log(x: np.ndarray, even: float = EVEN) -> np.ndarray:
+        return np.log((1 - even) * x / x.sum(axis=-1, keepdims=True) + even / x.shape[-1])
 
-    return Model(log(start), log(move), log(shapes), float((later[1] + PLAIN_BEFORE) / (later[0] + LINES_BEFORE)))
+    return Model(log(start), log(move, MOVES_EVEN), log(shapes), float((later[1] + PLAIN_BEFORE) / (later[0] + LINES_BEFORE)))
 
 
 def turns_of(lines: list[Line], states: np.ndarray) -> list[tuple[int, str]]:

@@ -4,7 +4,8 @@ A host or path is cut into runs of letters; a run such as "freecasinobets" is sp
 words by Viterbi over a unigram model.  The model's counts are those of all words in the
 visible text of all pages; WORDS, a small bundled list, count as at least FLOOR of the corpus.
 A substring that is no known word costs as much as a word of one occurrence, and
-BYTE_COST more for each byte.
+BYTE_COST more for each character.  Words of more than SHORT characters are looked up by their
+first SHORT ones, so a run needs no table of all its substrings and no word is too long.
 
 Hosts with a word of SEEDS between dots and hyphens are the bad examples, all other hosts
 good ones.  Every page is an example: its words are counted by class and give smoothed word
@@ -31,7 +32,7 @@ from .tables import load, pick
 SEEDS = ["casino", "poker", "bets", "pills", "viagra", "porn", "xxx", "adult", "spam", "ads", "warez", "malware", "phish"]
 WORDS = [*SEEDS, *"the and for free win cheap farm track blog shop news bet best online sex video games game slots money loan crypto health pharmacy drugs store download crack click buy deal live cam girls hot home page index post article wiki forum mail mobile school library science university music sport travel food recipe garden history press daily world city book photo top ref page html php feed source utm id www example com net org tag category user profile image images static api docs help about contact login search".split()]
 FLOOR, BYTE_COST = 1e-5, 2.3
-LONGEST, ALPHA = 20, 1.0
+SHORT, ALPHA = 20, 1.0
 FLUSH = 1_000_000
 SCHEMA = "page_id long, url string, host string, words array<string>, log_odds double, kept boolean"
 
@@ -48,34 +49,56 @@ def runs_of(url: Column) -> Column:
     return F.regexp_extract_all(F.concat_ws(" ", host, path), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
+def _long_words(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words of more than SHORT characters, and the ends of their first SHORT ones."""
+    if not len(w.start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    letters = np.flatnonzero((w.data & 0xC0) != 0x80)  # where characters begin
+    first = np.searchsorted(letters, w.start)
+    some = np.flatnonzero(np.searchsorted(letters, w.end) - first > SHORT)
+    return some, letters[first[some] + SHORT]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Numbers of words by hash, and for long ones the hash of their beginning and their length in bytes."""
+    held: list[np.ndarray] = []
     size = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        h, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        return h, np.bincount(back, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+    def merged() -> np.ndarray:
+        x = np.concatenate(held)
+        _, at, back = np.unique(x[:, 0], return_index=True, return_inverse=True)
+        out = x[at]
+        out[:, 1] = np.bincount(back, weights=x[:, 1]).astype(np.int64)
+        return out
+
+    def row(x: np.ndarray) -> pa.RecordBatch:
+        long = x[:, 3] == 0
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2], mask=long), pa.array(x[:, 3], mask=long)], names=["h", "n", "head", "bytes"])
 
-    row = lambda h, n: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
     for batch in batches:
         for c in K.chunks(batch):
-            h, n = np.unique(K.words(c.column("text")).hashes, return_counts=True)
-            held.append((h, n.astype(np.int64)))
-            size += len(h)
+            w = K.words(c.column("text"))
+            x = np.zeros((len(w.hashes), 4), np.int64)
+            x[:, 0], x[:, 1] = w.hashes.view(np.int64), 1
+            some, end = _long_words(w)
+            x[some, 2], x[some, 3] = K.span_hash(w.data, w.start[some], end).view(np.int64), (w.end - w.start)[some]
+            held.append(x)
+            held[-1] = merged() if len(held) == 1 else x
+            size += len(x)
             if size > FLUSH:
                 held = [merged()]
-                size = len(held[0][0])
+                size = len(held[0])
                 if size > FLUSH // 2:
-                    yield row(*held[0])
+                    yield row(held[0])
                     held, size = [], 0
     if held:
-        yield row(*merged())
+        yield row(merged())
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """h, n: the hashes of all words in the visible text of all pages, with their numbers."""
+    """h, n: the hashes of all words in the visible text of all pages, with their numbers; head and bytes: for long words, the hash of their first SHORT characters and their length."""
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
-    return pages.select(text.alias("text")).mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return pages.select(text.alias("text")).mapInArrow(_count, "h long, n long, head long, bytes long").groupBy("h").agg(F.sum("n").alias("n"), F.max("head").alias("head"), F.max("bytes").alias("bytes"))
 
 
 def hash_of(words: list[str]) -> np.ndarray:
@@ -85,14 +108,14 @@ def hash_of(words: list[str]) -> np.ndarray:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every substring of each run, up to LONGEST characters, with its place and hash."""
+    """Every substring of each run, up to SHORT characters, with its place and hash."""
     for batch in batches:
         for c in K.chunks(batch, "run", 1 << 14):
             runs = c.column("run").to_pylist()
             at = [np.cumsum([0, *(len(x.encode()) for x in r)]) for r in runs]
             data, off = K.flat(c.column("run"))
-            i = [K.ranges(np.zeros(len(a) - 1, np.int64), np.minimum(np.arange(len(a) - 1, 0, -1), LONGEST)) for a in at]
-            first = [np.repeat(np.arange(len(a) - 1), np.minimum(np.arange(len(a) - 1, 0, -1), LONGEST)) for a in at]
+            i = [K.ranges(np.zeros(len(a) - 1, np.int64), np.minimum(np.arange(len(a) - 1, 0, -1), SHORT)) for a in at]
+            first = [np.repeat(np.arange(len(a) - 1), np.minimum(np.arange(len(a) - 1, 0, -1), SHORT)) for a in at]
             last = [f + n + 1 for f, n in zip(first, i)]
             who = np.repeat(np.arange(len(runs)), [len(f) for f in first])
             start = np.concatenate([o + a[f] for o, a, f in zip(off, at, first)]) if runs else np.zeros(0, np.int64)
@@ -101,15 +124,36 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([c.column("run").take(pa.array(who)), pa.array(np.concatenate(first) if runs else start, pa.int32()), pa.array(np.concatenate(last) if runs else end, pa.int32()), pa.array(h.view(np.int64))], names=["run", "i", "j", "h"])
 
 
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The long words that stand at a place of a run, of those with the same beginning."""
+    for b in batches:
+        rows = []
+        for run, i, words in zip(*(b.column(c).to_pylist() for c in ("run", "i", "words"))):
+            raw, at = run.encode(), len(run[:i].encode())
+            data, found = np.frombuffer(raw, np.uint8), [w for w in words if at + w["bytes"] <= len(raw)]
+            if found:
+                end = np.array([at + w["bytes"] for w in found])
+                h = K.span_hash(data, np.full(len(end), at), end).view(np.int64)
+                rows += [(run, i, len(raw[:e].decode(errors="ignore")), w["n"]) for w, e, x in zip(found, end.tolist(), h.tolist()) if x == w["h"]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["run", "i", "j", "n"])
+
+
 def viterbi(run: str, known: list[tuple[int, int, int]], total: int) -> list[str]:
-    """The best split of run, given (start, end, count) of its known substrings; on ties the longest last word."""
-    n, floor = len(run), np.log(total)
-    cost = {(i, j): floor - np.log(c) for i, j, c in known}
+    """The best split of run, given (start, end, count) of its known substrings; on ties the longest last word, known ones before others."""
+    n, floor = len(run), float(np.log(total))
+    by_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for i, j, c in known:
+        by_end[j].append((i, floor - float(np.log(c))))
     best, back = [0.0] + [np.inf] * n, [0] * (n + 1)
+    unknown, since = np.inf, 0  # the cheapest way to be inside a word that isn't known, and where that began
     for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST), j):
-            c = best[i] + cost.get((i, j), floor + BYTE_COST * (j - i))
-            if c < best[j] - 1e-12:
+        unknown += BYTE_COST
+        if best[j - 1] + floor + BYTE_COST < unknown - 1e-12:
+            unknown, since = best[j - 1] + floor + BYTE_COST, j - 1
+        best[j], back[j] = unknown, since
+        for i, cost in sorted(by_end[j]):
+            if (c := best[i] + cost) < best[j] - 1e-12 or (c < best[j] + 1e-12 and i <= back[j]):
                 best[j], back[j] = c, i
     out, j = [], n
     while j:
@@ -119,13 +163,16 @@ def viterbi(run: str, known: list[tuple[int, int, int]], total: int) -> list[str
 
 
 def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """run and its words, for the distinct runs of a table and word counts (h, n)."""
+    """run and its words, for the distinct runs of a table and word counts as of word_counts()."""
     bundled = [int(x) for x in hash_of(WORDS).view(np.int64)]
     total = max(2, counts.agg(F.sum("n")).first()[0] or 0)
     least = max(1, int(FLOOR * total))
     extra = runs.sparkSession.createDataFrame([(h, least) for h in bundled], "h long, n long")
-    known = counts.unionByName(extra).groupBy("h").agg(F.max("n").alias("n"))
-    found = runs.mapInArrow(_pieces, "run string, i int, j int, h long").join(known, "h").groupBy("run").agg(F.collect_list(F.struct("i", "j", "n")).alias("known"))
+    known = counts.select("h", "n").unionByName(extra).groupBy("h").agg(F.max("n").alias("n"))
+    long = counts.filter("bytes is not null").groupBy(F.col("head").alias("h")).agg(F.collect_list(F.struct("h", "n", "bytes")).alias("words"))
+    pieces = runs.mapInArrow(_pieces, "run string, i int, j int, h long")
+    found = pieces.join(known, "h").select("run", "i", "j", "n").unionByName(pieces.filter(F.col("j") - F.col("i") == SHORT).join(long, "h").select("run", "i", "words").mapInArrow(_extended, "run string, i int, j int, n long"))
+    found = found.groupBy("run").agg(F.collect_list(F.struct("i", "j", "n")).alias("known"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

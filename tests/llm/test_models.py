@@ -117,13 +117,22 @@ def test_url_scores_against_a_plain_version(spark):
         counts[w] = max(counts[w], max(1, int(url_filter.FLOOR * total)))
 
     def split(run):
-        known = [(i, j, counts[run[i:j]]) for i in range(len(run)) for j in range(i + 1, min(len(run), i + url_filter.LONGEST) + 1) if counts.get(run[i:j])]
-        return url_filter.viterbi(run, known, total)
+        """The least cost of each beginning, over all last words."""
+        best = [(0.0, [])]
+        for j in range(1, len(run) + 1):
+            ways = []
+            for i in range(j):
+                word = run[i:j]
+                cost = math.log(total) - math.log(counts[word]) if counts.get(word) else math.log(total) + url_filter.BYTE_COST * len(word)
+                ways.append((round(best[i][0] + cost, 9), i, best[i][1] + [word]))
+            cost, _, words = min(ways)
+            best.append((cost, words))
+        return best[-1][1]
 
     own, examples = {}, []
     for r in rows:
         host = re.match(r"https?://([^/?#:]*)", r["url"])[1].lower()
-        runs = list(dict.fromkeys(re.findall(r"[^\W\d_]+", host.rpartition(".")[0] + " " + re.sub(r"https?://[^/?#]*", "", r["url"]).lower())))
+        runs = list(re.findall(r"[^\W\d_]+", host.rpartition(".")[0] + " " + re.sub(r"https?://[^/?#]*", "", r["url"]).lower()))
         bad = bool(re.search("(^|[.-])(" + "|".join(url_filter.SEEDS) + ")([.-]|$)", host))
         own[r["page_id"]] = (sorted(w for run in runs for w in split(run)), bad)
         examples.append((own[r["page_id"]][0], bad))
@@ -140,6 +149,13 @@ def test_url_scores_against_a_plain_version(spark):
         assert got[page]["kept"] == (not bad and got[page]["log_odds"] < 0)
 
 
+def test_words_of_any_length_are_known(spark):
+    word = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    rows = [(1, f"http://the{word}casino.example.com/", f"<p>{word} the casino {word}</p> the"), (2, f"http://x.y/{word}é{word}", "<p>é</p>"), (3, f"http://{word[:30]}.net", None)]
+    got = {r["page_id"]: r["words"] for r in url_filter.score_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == sorted(["example", "the", word, "casino"]) and got[2] == sorted(["x", word, "é", word]) and got[3] == [word[:30]]
+
+
 def test_run_together_hosts_are_found(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
     more = [(10**6, "http://freecasinobets.example.com/en/1", ""), (10**6 + 1, "https://www.cheappillsonline.example.net/en/2", ""), (10**6 + 2, "http://ththon.example.com/en/3", "")]
