@@ -30,6 +30,7 @@ from .tables import corpus, load
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 CACHE_PIECES, CACHE_PAIRS = 300_000, 500_000
+_NEVER = 1 << 60
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ENCODED = "doc_id long, ids array<int>, n_tokens long, exact boolean"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("exact", pa.bool_())])
@@ -43,7 +44,10 @@ def byte_letters() -> dict[str, int]:
 
 
 def read_vocabulary(path: str) -> dict:
-    """{"tokens": bytes by id, "merges": [(left, right, merged)] by rank} of a byte-level BPE file."""
+    """{"tokens": bytes by id, "merges": [(left, right, merged)] by rank} of a byte-level BPE file.
+
+    A vocabulary without a token for each byte can't encode every text: ValueError.
+    """
     model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
     letters, vocab = byte_letters(), model["vocab"]
     as_bytes = lambda t: bytes(letters[c] for c in t)
@@ -55,6 +59,9 @@ def read_vocabulary(path: str) -> dict:
     merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
     reached = {m for _, _, m in merges}
     tokens = [t if t is not None and (len(t) == 1 or i in reached) else None for i, t in enumerate(tokens)]
+    lacking = 256 - len({t for t in tokens if t is not None and len(t) == 1})
+    if lacking:
+        raise ValueError(f"the vocabulary has no token for {lacking} of the 256 bytes")
     return {"tokens": tokens, "merges": merges}
 
 
@@ -77,34 +84,57 @@ class Encoder(dict):
                 self.pair[ra, rb] = rm
             if self.left[rm] == rm:
                 self.left[rm], self.right[rm] = ra, rb
+        self.ends: dict[int, list[int]] = {}
+        self.heads: dict[int, list[int]] = {}
+        # a token that the merge loop never makes of its own bytes is in no encoding
+        made = [r < len(base) for r in range(len(self.real))]
+        for (a, b), m in self.pair.items():
+            made[m] = made[m] or made[a] and made[b] and self._joined_at(a, b) == (a, b)
         self.size = [len(self.tokens[t]) for t in self.real]
         self.packed = [np.int32(t).tobytes() for t in self.real]
         self.automaton = ahocorasick.Automaton()
-        for r, t in enumerate(self.real):
+        for r, t in ((r, t) for r, t in enumerate(self.real) if made[r]):
             self.automaton.add_word(self.tokens[t].decode("latin-1"), r)
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
 
-    def pair_fits(self, a: int, b: int) -> bool:
-        """Whether the merge loop leaves tokens a, b (by rank) side by side: undo their merges, latest first, and see that no merge across the border would have come earlier."""
-        left, right, pair = self.left, self.right, self.pair
-        limit = 1 << 60
+    def _edge(self, token: int, inner: list[int], kept: dict[int, list[int]]) -> list[int]:
+        """What stands at a token's edge while it is merged, from the byte to the token itself."""
+        have = kept.get(token)
+        if have is None:
+            have, t = [token], token
+            while inner[t] != t:
+                t = inner[t]
+                have.append(t)
+            have.reverse()
+            kept[token] = have
+        return have
+
+    def _joined_at(self, a: int, b: int) -> tuple[int, int] | None:
+        """What of a's end and b's beginning the merge loop joins across the border of tokens a, b (by rank), if anything.
+
+        Both are followed from their bytes on, the earlier merge first.  At each step the pair
+        across the border comes before the next merge on either side or waits; of equal merges
+        the one on the left comes first.
+        """
+        left, right = self._edge(a, self.right, self.ends), self._edge(b, self.left, self.heads)
+        i = j = 0
         while True:
-            joined = pair.get((a, b))
-            if joined is not None and joined < limit:
-                return False
-            if a > b:
-                limit, a = a, right[a]
-                if a == limit:
-                    limit, b = b + 1, left[b]
-                    if b + 1 == limit:
-                        return True
+            next_left = left[i + 1] if i + 1 < len(left) else _NEVER
+            next_right = right[j + 1] if j + 1 < len(right) else _NEVER
+            across = self.pair.get((left[i], right[j]), _NEVER)
+            if across < next_left and across <= next_right and across != _NEVER:
+                return left[i], right[j]
+            if next_left == next_right == _NEVER:
+                return None
+            if next_left <= next_right:
+                i += 1
             else:
-                limit, b = b + 1, left[b]
-                if b + 1 == limit:
-                    limit, a = a, right[a]
-                    if a == limit:
-                        return True
+                j += 1
+
+    def pair_fits(self, a: int, b: int) -> bool:
+        """Whether the merge loop leaves tokens a, b side by side."""
+        return self._joined_at(a, b) is None
 
     def last_tokens(self, raw: bytes) -> list[int]:
         """The rank of the last token of each prefix of raw, from length 1."""

@@ -100,10 +100,17 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(items: DataFrame, k: int, short: bool = True) -> Iterator[ItemIndex]:
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = total // (6 * BLOCK_SHINGLES) + 1
+    """Indexes of items dealt to blocks of at most BLOCK_SHINGLES words each, which is counted; an item of more words has a block of its own."""
+    part = lambda n: F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    words = items.withColumn("words", F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9[^\x00-\x7F]]+"), F.lit(0))))
+    parts = 1
+    while True:
+        blocks = words.groupBy(part(parts)).agg(F.sum("words").alias("words"), F.count("*").alias("n"))
+        if (blocks.filter("n > 1").agg(F.max("words")).first()[0] or 0) <= BLOCK_SHINGLES:
+            break
+        parts *= 2
     for p in range(parts):
-        rows = (items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)).collect()
+        rows = (items if parts == 1 else items.filter(part(parts) == p)).collect()
         rows.sort(key=lambda r: (r[0], r[1]))
         if rows or not p:
             yield ItemIndex([r[0] for r in rows], [r[1] for r in rows], k, short)
@@ -185,9 +192,12 @@ WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{K.WORD_SQL}') AS w F
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS t(i)),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '{K.WORD_SQL}') AS w FROM benchmark),
 bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM b, unnest(range(1, len(w) - 3)) AS t(i)),
-n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+few AS (SELECT DISTINCT item_id, len(w) AS m, array_to_string(w, ' ') AS s FROM b WHERE len(w) BETWEEN 1 AND 4),
+dm AS (SELECT DISTINCT doc_id, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM d, (SELECT DISTINCT m FROM few), unnest(range(1, len(w) - m + 2)) AS t(i))
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n::DOUBLE AS containment
 FROM ds JOIN bs USING (s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n HAVING count(*) >= 0.6 * n
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0::DOUBLE FROM dm JOIN few USING (m, s)
 """
 QUERIES = {"op1_decontamination": (op1_decontamination, SQL)}

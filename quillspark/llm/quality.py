@@ -79,7 +79,10 @@ def index_corpus(texts: Iterator[pa.Array]) -> np.ndarray:
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The learned vectors of all slots, of length 1 where the slot was met, from the whole table."""
+    """The learned vectors of all slots, of length 1 where the slot was met, from the whole table.
+
+    Null and empty texts add nothing, repeated rows count again, and an empty table gives zeros.
+    """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = index_corpus(c.column("text") for b in batches for c in K.chunks(b, size=4 << 20))
@@ -243,8 +246,13 @@ def _evidence(rows: DataFrame) -> tuple[Evidence, Evidence, Evidence]:
     return tuple(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_docs: int = TRAIN_DOCS) -> tuple[Evidence, Network]:
-    """Evidence and a network from the max_docs labelled documents of the lowest hashes of their doc_id; rows with a null label are left out."""
+def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_docs: int = TRAIN_DOCS) -> tuple[Evidence, Network | None]:
+    """Evidence and a network from the max_docs labelled documents of the lowest hashes of their doc_id.
+
+    Rows with a null doc_id or label are left out; of rows that repeat a doc_id the lowest
+    quality and the highest toxic count, and its texts are examples each.  A null or empty text
+    is an example without tokens.  Without any labelled document there is no network.
+    """
     docs = corpus(docs)
     chosen = pick(labels, doc_id="long", quality="double", toxic="double").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     rows = docs.join(F.broadcast(chosen), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)))
@@ -262,17 +270,17 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_docs: int
 
     got = rows.mapInArrow(run, "doc_id long, quality double, toxic double, x binary").collect()
     if not got:
-        raise ValueError("no labelled document")
+        return evidence, None
     got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     return evidence, fit(np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in got]).astype(np.float64), np.array([[r["quality"], r["toxic"]] for r in got]))
 
 
-def classify(docs: DataFrame, trained: tuple[Evidence, Network], vectors: np.ndarray, least: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, trained: tuple[Evidence, Network | None], vectors: np.ndarray, least: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
     """Calibrated probabilities for each document, and whether to keep it.
 
     kept: p_quality is at least `least` and p_toxic under most_toxic.  A text with no token
-    (null, empty or blank) has p_quality 0 and p_toxic 0 and is not kept.  docs has doc_id and
-    text; other columns are ignored; rows without a doc_id are left out, repeated rows give
+    (null, empty or blank) has p_quality 0 and p_toxic 0 and is not kept.  Where nothing could
+    be learned, other texts have null probabilities and are kept.  docs has doc_id and text; other columns are ignored; rows without a doc_id are left out, repeated rows give
     repeated results, and an empty table gives none.
     """
     docs = corpus(docs)
@@ -283,8 +291,9 @@ def classify(docs: DataFrame, trained: tuple[Evidence, Network], vectors: np.nda
         for b in batches:
             for c in K.chunks(b):
                 x, n = pooled(c.column("text"), vectors, evidence)
-                p = net.probabilities(x.astype(np.float64)) * (n > 0)[:, None]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(n, pa.int64()), pa.array((n > 0) & (p[:, 0] >= least) & (p[:, 1] < most_toxic))], schema=_OUT)
+                p = (net.probabilities(x.astype(np.float64)) if net else np.zeros((len(n), 2))) * (n > 0)[:, None]
+                unknown, kept = (n > 0) & (net is None), (n > 0) & ((net is None) | (p[:, 0] >= least) & (p[:, 1] < most_toxic))
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(p[:, 0], mask=unknown), pa.array(p[:, 1], mask=unknown), pa.array(n, pa.int64()), pa.array(kept)], schema=_OUT)
 
     return docs.mapInArrow(run, SCHEMA)
 

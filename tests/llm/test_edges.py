@@ -126,8 +126,10 @@ def test_quality(spark, docs, empty):
     by = {r["doc_id"]: r for r in quality.classify(docs, net, vectors).collect()}
     assert len(by) == 11 and not by[1]["kept"] and by[3]["p_quality"] == 0
     assert quality.classify(empty, net, vectors).count() == 0
-    with pytest.raises(ValueError):
-        quality.train(empty, labels, quality.word_vectors(empty))
+    for none in (quality.train(empty, labels, quality.word_vectors(empty)), quality.train(docs, labels.limit(0), vectors)):
+        assert quality.classify(empty, none, vectors).count() == 0
+        by = {r["doc_id"]: r for r in quality.classify(docs, none, vectors).collect()}
+        assert by[4]["kept"] and by[4]["p_quality"] is None and not by[2]["kept"] and by[2]["p_quality"] == 0
 
 
 def test_neighbours(spark):
