@@ -32,7 +32,7 @@ _BLOB = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("n", pa.int32(
 MET = "unit long, n int, refs binary, marks binary, head binary"
 _MET = pa.schema([("unit", pa.int64()), ("n", pa.int32()), ("refs", pa.binary()), ("marks", pa.binary()), ("head", pa.binary())])
 #: Entries of a unit: the least, the most, and how many a bucket in between.
-FLUSH, MOST_FLUSH, ROW_ENTRIES = 1_500_000, 8_000_000, 48
+FLUSH, MOST_FLUSH, ROW_ENTRIES = 1_000_000, 8_000_000, 48
 _MANY = 1 << 15
 
 
