@@ -10,6 +10,7 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.operators import findings as O
 from quillspark.operators import registry, scan, snapshot
@@ -24,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", help="write the report here")
     p.add_argument("--severity", choices=list(registry.RANKS), help="show findings of this severity only")
     p.add_argument("--object", help="show findings of objects whose name holds this")
-    p.add_argument("--save", help="write a snapshot here")
+    p.add_argument("--save", help="write a snapshot here: one document if it ends in .json, else a folder")
     p.add_argument("--baseline", help="a snapshot to compare with")
     p.add_argument("--verify", action="store_true", help="paths are generated code to be checked against the snapshot")
     p.add_argument("--fail-on", choices=list(registry.RANKS), help="exit with 1 on findings of this severity or worse")
@@ -95,10 +96,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             text = sinks.verification_json(rows).first()[0] if a.format == "json" else "\n".join(f"{r['detector']}: {r['baseline_count']} -> {'-' if r['status'] == 'not_verifiable' else r['post_migration_count']} {r['status']}" for r in rows.orderBy("detector").collect())
             _emit(text, a.output)
             return 2 if error else 0
-        if a.save and not snapshot.save(found, a.save, error):
+        if a.save and not (snapshot.save_document if a.save.endswith(".json") else snapshot.save)(found, a.save, error):
             _say("snapshot not written, as the scan had errors")
         if baseline is not None:
             counts = {r["status"]: r["n"] for r in snapshot.diff(baseline, snapshot.keyed(found)).groupBy("status").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+            for r in O.ordered(snapshot.diff_rows(baseline, snapshot.keyed(found)).filter("status = 'new'").withColumns({k: F.lit(0) for k in O.KEYS if k != "source_file"})).toLocalIterator():
+                _say(f"new: {r['severity']} {r['object_name']} {r['source_file']}:{r['line']} {r['detector']}")
             _say("against the snapshot: " + ", ".join(f"{s} {counts.get(s, 0)}" for s in ("new", "resolved", "unchanged")))
         shown = O.select(found, a.severity, a.object)
         kind = a.format or ("terminal" if not a.output and sys.stdout.isatty() else "markdown")

@@ -20,8 +20,12 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def numbered(findings: DataFrame) -> DataFrame:
-    """seq: each finding's place in the order, from 1; ranges are sorted apart and their sizes added, so no task holds all."""
-    rows = findings.repartitionByRange(*sort_keys()).sortWithinPartitions(*sort_keys()).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    """seq: each finding's place in the order, from 1; ranges are sorted apart and their sizes added, so no task holds all.
+
+    The ranges are kept, so that sizes and places are those of the same ones.
+    """
+    ranges = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = findings.repartitionByRange(ranges, *sort_keys()).sortWithinPartitions(*sort_keys()).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()).persist()
     sizes = rows.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("__first"))
     starts = sizes.withColumn("__start", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return rows.join(F.broadcast(starts), "__p").withColumn("seq", F.col("__i") - F.col("__first") + F.col("__start") + 1).drop("__p", "__i", "__first", "__start")
@@ -58,6 +62,13 @@ def gate(findings: DataFrame, threshold: str) -> DataFrame:
     return findings.agg(F.coalesce(F.bool_or(R.rank(F.col("severity")) <= R.RANKS[threshold]), F.lit(False)).alias("failed"))
 
 
+def gates(findings: DataFrame) -> DataFrame:
+    """threshold and failed for every threshold, from one pass."""
+    worst = findings.agg(F.min(R.rank(F.col("severity"))).alias("worst"))
+    rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.coalesce(F.col("worst") <= r, F.lit(False)).alias("failed")) for t, r in R.RANKS.items()])
+    return worst.select(F.inline(rows))
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     """severity and n for high, medium and low, with 0 too, and for other where there are any."""
     known = F.when(F.col("severity").isin(*R.RANKS), F.col("severity")).otherwise("other")

@@ -40,6 +40,21 @@ def save(findings: DataFrame, path: str, had_error: bool = False, baseline: str
     return True
 
 
+def save_document(findings: DataFrame, path: str, had_error: bool = False, baseline: str | None = None) -> bool:
+    """The same as one JSON document, {"schema_version": 1, "findings": [...]}, in order of the findings; rows pass the driver one partition at a time."""
+    if baseline is not None and Path(path).resolve() == Path(baseline).resolve():
+        raise SnapshotError("a snapshot can't replace the one it is compared with")
+    if had_error:
+        return False
+    rows = keyed(findings).orderBy(*sort_keys()) if "hit_seq" in findings.columns else keyed(findings).orderBy("source_file", "line", "detector")
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(f'{{"schema_version": {VERSION}, "findings": [')
+        for i, r in enumerate(rows.select(*COLUMNS, "group_key").toLocalIterator()):
+            out.write((",\n" if i else "\n") + json.dumps(r.asDict(), ensure_ascii=False))
+        out.write("\n]}\n")
+    return True
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The findings of a snapshot: a folder written by save(), or one JSON document with schema_version and findings.
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexer as L
 from quillspark.operators import checks, costs, registry, scan, snapshot
 from quillspark.operators import findings as O
-from quillspark.operators.specs import ALL, SPECS
+from quillspark.operators.specs import SPECS
 from quillspark.sources import dictionary, sinks
 from quillspark.sources.files import split_statements
 
 from . import ddl
+from .expected import KNOWN
 
 QUERIES: dict = {}
 _FIELDS = ", ".join(scan.FINDING)
@@ -119,14 +120,12 @@ def _filtered(spark, sf_dir):
 
 @_register("flt_gate", _with(f"SELECT t AS threshold, (SELECT coalesce(bool_or({_RANK} <= r), false) FROM fs) AS failed FROM (VALUES ('high', 0), ('medium', 1), ('low', 2)) v(t, r)"))
 def _gates(spark, sf_dir):
-    found = _found(spark, sf_dir)
-    out = [O.gate(found, t).select(F.lit(t).alias("threshold"), "failed") for t in registry.RANKS]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return O.gates(_found(spark, sf_dir))
 
 
-_GAPS = "g(detector, gap_number, failure_stage, slug) AS (VALUES " + ddl.values([(s.name, s.gap, s.stage, s.slug) for s in ALL if s.gap]) + ")"
-_HINTS = "h(detector, hint) AS (VALUES " + ddl.values([(s.name, s.hint) for s in ALL]) + ")"
-_MODES = "m(detector, mode) AS (VALUES " + ddl.values([(s.name, s.mode) for s in ALL]) + ")"
+_GAPS = "g(detector, gap_number, failure_stage, slug) AS (VALUES " + ddl.values([(n, gap, stage, slug) for n, (_, gap, slug, stage, *_) in KNOWN.items() if gap]) + ")"
+_HINTS = "h(detector, hint) AS (VALUES " + ddl.values([(n, k[5]) for n, k in KNOWN.items()]) + ")"
+_MODES = "m(detector, mode) AS (VALUES " + ddl.values([(n, k[4]) for n, k in KNOWN.items()]) + ")"
 
 
 @_register("join_enriched", _with(f", {_GAPS} SELECT {_FIELDS}, gap_number, failure_stage FROM fs LEFT JOIN g USING (detector)").replace(") , g", "), g"))
@@ -229,7 +228,7 @@ def _bags(spark, sf_dir):
 
 @_register("set_diff_rows", _with(f", k AS (SELECT *, {_KEY} AS key FROM fs), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line) AS rn FROM k WHERE line % 3 <> 0), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line) AS rn FROM k WHERE line % 3 <> 1) SELECT CASE WHEN o.key IS NULL THEN 'new' WHEN n.key IS NULL THEN 'resolved' ELSE 'unchanged' END AS status, coalesce(n.detector, o.detector) AS detector, coalesce(n.object_name, o.object_name) AS object_name, coalesce(n.line, o.line) AS line, coalesce(n.source_file, o.source_file) AS source_file FROM o FULL JOIN n ON o.key = n.key AND o.rn = n.rn"))
 def _diff_rows(spark, sf_dir):
-    found = snapshot.keyed(_found(spark, sf_dir))
+    found = snapshot.keyed(_found(spark, sf_dir)).persist()
     return snapshot.diff_rows(found.filter("line % 3 <> 0"), found.filter("line % 3 <> 1")).select("status", "detector", "object_name", "line", "source_file")
 
 
@@ -237,7 +236,7 @@ _VERIFY = _with(f", {_GAPS}, {_MODES}, v AS (SELECT detector, count(*) AS baseli
 
 
 def _verified(spark, sf_dir):
-    found = _found(spark, sf_dir)
+    found = _found(spark, sf_dir).persist()
     return snapshot.verify(found, found.filter("source_file like '%2.sql' and line % 2 = 0"))
 
 
@@ -331,20 +330,18 @@ def _totals(spark, sf_dir):
     return costs.totals(_reports(spark, sf_dir))
 
 
-@_register("set_difference", "SELECT 'left' AS side, name FROM (SELECT DISTINCT c_nationkey AS name FROM customer WHERE c_nationkey < 20 EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'right', name FROM (SELECT DISTINCT s_nationkey AS name FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_nationkey < 20)")
+@_register("set_difference", "SELECT 'left' AS side, name FROM (SELECT DISTINCT p_size AS name FROM part EXCEPT SELECT n_nationkey FROM nation) UNION ALL SELECT 'right', name FROM (SELECT DISTINCT n_nationkey AS name FROM nation EXCEPT SELECT p_size FROM part)")
 def _difference(spark, sf_dir):
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_nationkey < 20").select("c_nationkey")
-    return checks.difference(customers, spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_nationkey"))
+    return checks.difference(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size"), spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey"))
 
 
-@_register("chk_registry", "SELECT detector, ''::VARCHAR AS fault FROM (VALUES ('none')) v(detector) WHERE false")
+@_register("chk_registry", f"WITH {_GAPS}, {_MODES}, c(fault, n) AS (SELECT 'scan', count(*) FILTER (mode <> 'generated_only') FROM m UNION ALL SELECT 'mode', count(*) FROM m UNION ALL SELECT 'text', 40 + count(*) FROM m UNION ALL SELECT 'stage', count(*) FROM g) SELECT fault, n, 0::BIGINT AS faults FROM c UNION ALL SELECT 'text xx', n, n FROM c WHERE fault = 'text'")
 def _checks(spark, sf_dir):
-    """Everything that is wrong with the registry: nothing."""
-    faults = [checks.scanned(spark).select(F.col("name").alias("detector"), F.lit("scan").alias("fault")), checks.moded(spark).select("name", F.lit("mode")), checks.translated(spark).select("name", F.lit("text")), checks.staged(spark).select("detector", F.lit("stage"))]
-    out = faults[0]
-    for more in faults[1:]:
-        out = out.union(more)
-    return out
+    """For each check, how much it looks at and how many faults it finds: none, but for a language that has no texts."""
+    n = {"scan": len(SPECS), "mode": registry.modes(spark).count(), "text": registry.messages(spark).count() + registry.hints(spark).count(), "stage": registry.gaps(spark).count()}
+    n["text xx"] = n["text"]
+    faults = {"scan": checks.scanned(spark), "mode": checks.moded(spark), "text": checks.translated(spark), "stage": checks.staged(spark), "text xx": checks.translated(spark, "xx")}
+    return spark.createDataFrame([(c, n[c], f.count()) for c, f in faults.items()], "fault string, n long, faults long")
 
 
 @_register("src_distinct_files", "SELECT 'f' || min(p_partkey) || '.sql' AS source_file, p_partkey % 7 AS content FROM part GROUP BY p_partkey % 7")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.specs import BY_NAME
+from .expected import KNOWN
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ b AS (SELECT k, f, tid, 'f' || f || '.sql' AS source_file, coalesce(sum(size) OV
 
 def findings_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
     """fs: the expected findings of the corpus."""
-    rows = [(i, d, BY_NAME[d].severity, o, line, s, BY_NAME[d].messages[m], 1 if line else 0) for i, t in enumerate(templates) for d, o, line, s, m in t.expected]
+    rows = [(i, d, KNOWN[d][0], o, line, s, KNOWN[d][6][m], 1 if line else 0) for i, t in enumerate(templates) for d, o, line, s, m in t.expected]
     return f"""{base_sql(templates)},
 e(tid, detector, severity, obj, rel, snip, message, counted) AS (VALUES {values(rows)}),
 fs AS (SELECT detector, severity, replace(obj, '{{k}}', k::VARCHAR) AS object_name, ((before + rel) * counted)::INT AS line, replace(snip, '{{k}}', k::VARCHAR) AS snippet, message, source_file FROM b JOIN e USING (tid))"""

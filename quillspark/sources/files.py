@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -44,11 +45,11 @@ def decode(content):
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
-    """Named files as (source_file, source, file_seq), and the paths that aren't files.
+    """Named files as (source_file, source, file_seq), and the paths that aren't files or can't be read.
 
     Spark reads the bytes on the executors; only the names are on the driver.
     """
-    there = [p for p in paths if Path(p).is_file()]
+    there = [p for p in paths if Path(p).is_file() and os.access(p, os.R_OK)]
     missing = [p for p in paths if p not in there]
     if not there:
         return spark.createDataFrame([], SCHEMA), missing

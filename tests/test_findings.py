@@ -71,6 +71,10 @@ def test_snapshot_files(spark, tmp_path):
     assert not snapshot.save(t, str(tmp_path / "x"), had_error=True) and not (tmp_path / "x").exists()
     assert snapshot.save(t, str(tmp_path / "x"))
     assert snapshot.diff(snapshot.load(spark, str(tmp_path / "x")), snapshot.keyed(t)).collect()[0]["status"] == "unchanged"
+    assert snapshot.save_document(t, str(tmp_path / "d.json")) and not snapshot.save_document(t, str(tmp_path / "e.json"), had_error=True)
+    written = json.loads((tmp_path / "d.json").read_text())
+    assert written["schema_version"] == 1 and set(written["findings"][0]) == {*snapshot.COLUMNS, "group_key"}
+    assert [tuple(r) for r in snapshot.load(spark, str(tmp_path / "d.json")).collect()] == [tuple(r) for r in snapshot.load(spark, str(tmp_path / "x")).collect()]
     with pytest.raises(snapshot.SnapshotError):
         snapshot.save(t, str(tmp_path / "x"), baseline=str(tmp_path / "." / "x"))
     good = {"schema_version": 1, "findings": [{"group_key": "k", "detector": "d"}]}
